@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
@@ -28,12 +28,14 @@ from emberline.operators.components import connected_components
 from emberline.plans.scratch import discard, materialize
 
 SIGNATURE = 128
-#: Trees of the forest, values in a tree's key and the least common prefix of a candidate pair.
-TREES, DEPTH, LEAST = 16, 32, 3
+#: Trees of the forest, values in a tree's key (a byte each) and the least common prefix of a candidate pair.
+TREES, DEPTH, LEAST = 16, 64, 3
 #: A region of at most so many signatures is compared in full.
 REGION = 6
 #: Share of equal signature values below which a candidate isn't confirmed on full sets; 5 standard deviations below 0.8.
 SIEVE = 0.62
+#: Best-connected members of a group that stand for it in the second round.
+HUBS = 8
 
 _r = np.random.Generator(np.random.PCG64(7))
 _A = _r.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -107,15 +109,15 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIGNATURE * 2)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIGNATURE * 2)[:, ::2]  # the high bytes
         for t in range(TREES):
-            own = np.roll(sig, -2 * step * t, axis=1)[:, : 2 * DEPTH]
+            own = np.roll(sig, -step * t, axis=1)[:, :DEPTH]
             keys = np.concatenate([np.full((len(own), 1), t, np.uint8), own], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in keys], pa.binary())], ["class", "key"])
 
 
 def order_candidates(keys: np.ndarray) -> np.ndarray:
-    """Index pairs of candidates among sorted keys (tree byte, then DEPTH two-byte values).
+    """Index pairs of candidates among sorted keys (tree byte, then DEPTH one-byte values).
 
     Pairs: the nearest neighbours in the order, everything within a region of at
     most REGION keys, and each member of a larger region with the end of the
@@ -124,8 +126,7 @@ def order_candidates(keys: np.ndarray) -> np.ndarray:
     n = len(keys)
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    vals = keys[:, 1:].copy().view(">u2").astype(np.uint16)
-    differ = vals[1:] != vals[:-1]
+    differ = keys[1:, 1:] != keys[:-1, 1:]
     lcp = np.where(differ.any(1), differ.argmax(1), DEPTH)
     lcp[keys[1:, 0] != keys[:-1, 0]] = 0
     near = np.flatnonzero(lcp >= LEAST)
@@ -171,7 +172,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 1 + 2 * DEPTH)))
+            held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 1 + DEPTH)))
             size += batch.num_rows
         if size >= 400_000:  # goes on with the last row, so that its neighbour isn't missed
             if out := flush():
@@ -225,18 +226,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def _with_hubs(pairs: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
-    """For candidates that stayed in two groups: each end with the hub of the other's group.
+    """For candidates that stayed in two groups: each end with the hubs of the other's group.
 
-    A large group may hang together by its best-connected member alone, which
+    A large group may hang together by its best-connected members alone, which
     an order needn't bring beside all others.
     """
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-    hubs = groups.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("size")).filter("size > 2")
-    own = groups.join(hubs.select("component", "hub"), "component", "left")
-    at = lambda c: own.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"), F.col("hub").alias(f"hub_{c}"))
+    ends_of = lambda df: df.select(F.col("a").alias("node")).unionAll(df.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+    # the share of a member's candidates that were confirmed, against chance for few candidates
+    degree = ends_of(links).join(ends_of(pairs).withColumnRenamed("n", "tried"), "node").select("node", (F.col("n") / (F.col("tried") + 4)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "node"))
+    ranked = groups.join(degree, "node").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    hubs = ranked.groupBy("component").agg(F.collect_list("node").alias("hubs")).filter("size(hubs) > 2")
+    own = groups.join(hubs, "component", "left")
+    at = lambda c: own.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"), F.col("hubs").alias(f"hubs_{c}"))
     apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("not of_a <=> of_b")
-    ends = apart.select(F.col("a").alias("x"), F.col("hub_b").alias("y")).unionAll(apart.select(F.col("b").alias("x"), F.col("hub_a").alias("y")))
-    return ends.filter("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    ends = apart.select(F.col("a").alias("x"), F.explode("hubs_b").alias("y")).unionAll(apart.select(F.col("b").alias("x"), F.explode("hubs_a").alias("y")))
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
