@@ -68,7 +68,7 @@ def phrase_matches(found: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     start = F.col("left") - F.col("first")
     hit = lists.join(rare, "term").filter((start >= 0) & (start + F.size("window") <= F.size("near")))
     # the other terms' lists, offset-adjusted to the same start, from the next rarest on; forall stops at the first miss
-    rest = F.forall(F.slice("order", 2, 2**31 - 1), lambda o: F.element_at("near", start + o + 1) == F.element_at("window", o + 1))
+    rest = F.forall(F.slice("order", F.lit(2), F.size("order")), lambda o: F.element_at("near", start + o + 1) == F.element_at("window", o + 1))
     return hit.filter(rest).select(key, (F.col("pos") - F.col("first")).alias("start"), F.size("window").alias("length"), "phrase").distinct()
 
 
