@@ -52,13 +52,14 @@ def document_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.nda
 
 
 def signatures(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """16-bit minimum hashes, one row for each non-empty set."""
+    """Minimum hashes folded to 16 bits, one row for each set; zeros for an empty one."""
     full = np.flatnonzero(np.diff(offs))
     out = np.zeros((len(offs) - 1, SIGNATURE), dtype=np.uint16)
     if len(full):
         x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
         for k in range(SIGNATURE):
-            out[full, k] = np.minimum.reduceat(x * _A[k] + _B[k], offs[full]) >> np.uint32(16)
+            least = np.minimum.reduceat(x * _A[k] + _B[k], offs[full])
+            out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)  # a minimum's own high bits are mostly 0
     return out
 
 
