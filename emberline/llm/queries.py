@@ -12,6 +12,7 @@ from emberline.llm.hash_tree import shard_rows
 from emberline.llm.language_id import languages
 from emberline.llm.minhash_forest import near_duplicates
 from emberline.llm.positional_index import contamination
+from emberline.llm.suffix_dedup import repeated_bytes
 from emberline.llm.token_cache import token_counts
 
 
@@ -19,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,6 +117,7 @@ FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_cache": op5_token_cache,
     "op6_positional_index": op6_positional_index,
     "op7_language_id": op7_language_id,
