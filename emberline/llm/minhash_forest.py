@@ -235,8 +235,11 @@ def _with_hubs(pairs: DataFrame, links: DataFrame, groups: DataFrame) -> DataFra
     ends_of = lambda df: df.select(F.col("a").alias("node")).unionAll(df.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
     # the share of a member's candidates that were confirmed, against chance for few candidates
     degree = ends_of(links).join(ends_of(pairs).withColumnRenamed("n", "tried"), "node").select("node", (F.col("n") / (F.col("tried") + 4)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "node"))
-    ranked = groups.join(degree, "node").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    ranked = groups.join(degree, "node")
+    # first within parts of a component, then among those that are left
+    for key in (["component", F.pmod(F.xxhash64("node"), F.lit(64))], ["component"]):
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "node"))
+        ranked = ranked.withColumn("rank", rank).filter(F.col("rank") <= HUBS)
     hubs = ranked.groupBy("component").agg(F.collect_list("node").alias("hubs")).filter("size(hubs) > 2")
     own = groups.join(hubs, "component", "left")
     at = lambda c: own.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"), F.col("hubs").alias(f"hubs_{c}"))

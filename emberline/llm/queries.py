@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.chat_events import fold_events, masked_texts, read_back, render
+from emberline.llm.embedding_dedup import near_vectors
 from emberline.llm.hash_tree import shard_rows
 from emberline.llm.language_id import languages
 from emberline.llm.minhash_forest import near_duplicates
@@ -20,6 +21,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN n ON n.a = comp.vec_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_read(spark, sf_dir, "documents"))
 
@@ -117,6 +139,7 @@ FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_cache": op5_token_cache,
     "op6_positional_index": op6_positional_index,
@@ -127,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": _OP1,
     "op6_positional_index": _OP6,
     "op8_chat_events": _OP8,
     "op10_minhash_forest": _OP10,
