@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.chat_events import fold_events, masked_texts, read_back, render
+from emberline.llm.class_lm import class_scores
 from emberline.llm.embedding_dedup import near_vectors
 from emberline.llm.hash_tree import shard_rows
 from emberline.llm.language_id import languages
@@ -42,6 +43,10 @@ FROM comp LEFT JOIN n ON n.a = comp.vec_id
 """
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(_read(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_read(spark, sf_dir, "documents"))
 
@@ -140,6 +145,7 @@ FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_class_lm": op2_class_lm,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_cache": op5_token_cache,
     "op6_positional_index": op6_positional_index,
