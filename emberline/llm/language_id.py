@@ -144,7 +144,7 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for a, b, buf, offs in K.text_slices(batch, "text"):
+            for a, b, buf, offs in K.text_slices(batch, "_read"):
                 n = np.diff(offs)
                 z = np.zeros((b - a, len(model.languages)), np.float64)
                 score, won, total = np.zeros(b - a), np.full(b - a, len(model.languages)), np.zeros(b - a)
@@ -176,7 +176,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     """The columns `keep` of docs with lang_pred, score and rejected.
 
     A null text, or one without letters, is `und` with score 0 and rejected.
-    `keep` must not name the text column.
     """
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

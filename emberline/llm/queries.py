@@ -14,6 +14,7 @@ from emberline.llm.hash_tree import shard_rows
 from emberline.llm.language_id import languages
 from emberline.llm.minhash_forest import near_duplicates
 from emberline.llm.positional_index import contamination
+from emberline.llm.soft_mixing import fit_mixer, mix
 from emberline.llm.suffix_dedup import repeated_bytes
 from emberline.llm.token_cache import token_counts
 
@@ -51,6 +52,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates for four fifths of the tokens of high and one fifth of low quality, nothing toxic."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    mixer = fit_mixer(docs, _read(spark, sf_dir, "labels"), {"toxic": 0.0, "low": 0.2, "high": 0.8})
+    return mix(docs, mixer, ["doc_id"])
+
+
 def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -143,16 +151,24 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_class_lm": op2_class_lm,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_soft_mixing": op4_soft_mixing,
     "op5_token_cache": op5_token_cache,
     "op6_positional_index": op6_positional_index,
     "op7_language_id": op7_language_id,
     "op8_chat_events": op8_chat_events,
     "op9_hash_tree": op9_hash_tree,
     "op10_minhash_forest": op10_minhash_forest,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
