@@ -78,7 +78,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _parts(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, offset in it, bytes, offsets): slices of documents, long documents in overlapping parts."""
-    for a, b in K.slices(offs, 2 * K.SLICE_BYTES):
+    for a, b in K.slices(offs):
         if b == a + 1 and offs[b] - offs[a] > PART:
             for s in range(0, int(offs[b] - offs[a]) - WIDTH + 1, PART):
                 own = buf[offs[a] + s : min(offs[b], offs[a] + s + PART + WIDTH - 1)]
@@ -391,7 +391,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = base.groupBy("class").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("size")).filter(f"size >= {WIDTH}")
 
     found = rows.select("text").mapInArrow(_anchors_of, "class long, place int, lo int, hi int, gram long, around long")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("class", "place")).alias("a"), F.max(F.struct("class", "place")).alias("b")).filter("n > 1 and a <> b").select("gram")
+    spot = F.xxhash64("class", "place")
+    # written first, so that the join with it can split the rows of a very common gram
+    grams = materialize(found.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("gram"), "suffix-grams")
     several = materialize(found.join(grams, "gram"), "suffix-anchors").distinct()
     spread = several.groupBy("around").agg(F.count("*").alias("times"), F.min(F.struct("class", "place")).alias("lead"))
     # whole: all windows of the anchor repeat; of equal surroundings one stands for all among the suffixes to be sorted
