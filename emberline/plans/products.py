@@ -129,7 +129,7 @@ def dominant(pieces: DataFrame, key: str = "perim_id") -> DataFrame:
     """(key, eco, n_eco, ha_dom, eco_resid_ha): the largest piece, ties to the earlier name; `sin_region` and 0 without pieces."""
     own = ~F.col("residual")
     best = pieces.groupBy(key).agg(
-        F.max_by(F.when(own, F.struct("eco", "ha")), F.when(own, F.struct("ha", F.lit(0)))).alias("d"), F.sum(own.cast("int")).alias("n"), F.sum(F.when(~own, F.col("ha"))).alias("r")
+        F.min_by(F.struct("eco", "ha"), F.when(own, F.struct((-F.round("ha", 6)).alias("o"), "eco"))).alias("d"), F.sum(own.cast("int")).alias("n"), F.sum(F.when(~own, F.col("ha"))).alias("r")
     )
     return best.select(key, F.coalesce("d.eco", F.lit(NO_REGION)).alias("eco"), F.col("n").cast("long").alias("n_eco"), F.coalesce("d.ha", F.lit(0.0)).alias("ha_dom"), F.coalesce("r", F.lit(0.0)).alias("eco_resid_ha"))
 

@@ -397,7 +397,7 @@ pc AS MATERIALIZED (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, s
 kept AS MATERIALIZED (SELECT perim_id, eco, ha, area_ha, FALSE AS residual FROM pc JOIN ar USING (perim_id) WHERE ha >= greatest(0.5, area_ha*0.001)),
 rest AS (SELECT perim_id, 'sin_region' AS eco, area_ha - coalesce(used, 0) AS ha, area_ha, TRUE AS residual FROM ar LEFT JOIN (SELECT perim_id, sum(ha) AS used FROM kept GROUP BY perim_id) USING (perim_id)),
 pieces AS MATERIALIZED (SELECT * FROM kept UNION ALL SELECT * FROM rest WHERE abs(ha) >= 0.005),
-dom AS MATERIALIZED (SELECT perim_id, coalesce(arg_max(eco, ha) FILTER (NOT residual), 'sin_region') AS eco, count(*) FILTER (NOT residual) AS n_eco, coalesce(max(ha) FILTER (NOT residual), 0) AS ha_dom, coalesce(sum(ha) FILTER (residual), 0) AS eco_resid_ha FROM pieces GROUP BY perim_id)
+dom AS MATERIALIZED (SELECT perim_id, coalesce(arg_min(eco, (-round(ha, 6), eco)) FILTER (NOT residual), 'sin_region') AS eco, count(*) FILTER (NOT residual) AS n_eco, coalesce(max(ha) FILTER (NOT residual), 0) AS ha_dom, coalesce(sum(ha) FILTER (residual), 0) AS eco_resid_ha FROM pieces GROUP BY perim_id)
 """
 
 
