@@ -157,7 +157,7 @@ def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -
             joint[a] -= r
             joint[:, a] -= le
             joint[a, a] -= self_
-            rows, cols = joint.sum(1), joint.sum(0)
+            rows, cols = joint.sum(1) + le, joint.sum(0) + r  # wherever the unit goes, its neighbours keep these
             now = f(joint)
             add = f(joint + r[None, :]) - now
             gain = add.sum(1) - np.diag(add)
