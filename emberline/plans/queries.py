@@ -449,3 +449,118 @@ def r_class_clip(s, d):
     area = geo.box_area_m2(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")) / 1e6
     rest = scalar.residual(area, F.col("cl12_km2"), F.col("cl3_km2"))
     return out.select("perim_id", F.round("cl12_km2", 4).alias("cl12_km2"), F.round("cl3_km2", 4).alias("cl3_km2"), (F.round(rest, 4) + 0.0).alias("cl_x_km2"))
+
+
+# --- audits, samples and exports
+
+
+@query()
+def a_fixed_sample(s, d):
+    """1000 detections by the smallest hash of id and seed: the sample size is the feature; the hash is Spark's."""
+    return X.detections(s, d).orderBy(F.xxhash64("det_id", F.lit(54)), "det_id").limit(1000).select("det_id", "acq_date")
+
+
+@query("SELECT zone_name AS region, count(*) AS n, round(sum(m)/1e4, 2) AS mercator_ha, round(sum(g)/1e4, 2) AS geodesic_ha, round(sum(m)/sum(g) - 1, 8) AS bias FROM (SELECT zone_name, pow(6378137.0, 2)*radians(p.maxx-p.minx)*(ln(tan(pi()/4+radians(p.maxy)/2))-ln(tan(pi()/4+radians(p.miny)/2))) AS m, %s AS g FROM perim p JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy) GROUP BY zone_name" % _area("p.minx", "p.miny", "p.maxx", "p.maxy"))
+def g_area_audit(s, d):
+    return _audit(s, d).groupBy(F.col("zone_name").alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("m") / 1e4, 2).alias("mercator_ha"), F.round(F.sum("g") / 1e4, 2).alias("geodesic_ha"), F.round(F.sum("m") / F.sum("g") - 1, 8).alias("bias"))
+
+
+def _audit(s: SparkSession, d: str) -> DataFrame:
+    """Perimeters by the zone of their centre with Mercator (m) and ellipsoidal (g) areas in square metres."""
+    p = X.perimeters(s, d).withColumns(
+        {"m": (geo.mercator_x(F.col("maxx")) - geo.mercator_x(F.col("minx"))) * (geo.mercator_y(F.col("maxy")) - geo.mercator_y(F.col("miny"))), "g": geo.box_area_m2(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))}
+    )
+    return J.points_in_boxes(p.select("perim_id", "cx", "cy", "m", "g"), X.zones(s, d), "cx", "cy", 5.0, "inner")
+
+
+@query("SELECT round(corr(m/g-1, pow(1-%r*pow(sin(radians(cy)),2),2)/(pow(cos(radians(cy)),2)*(1-%r))-1), 6) AS r, round(median(abs(m/g/(pow(1-%r*pow(sin(radians(cy)),2),2)/(pow(cos(radians(cy)),2)*(1-%r)))-1)), 6) AS median_deviation, CASE WHEN median(abs(m/g-1)) < 0.001 THEN 'geodesic' ELSE 'mercator' END AS stored_as FROM (SELECT cy, pow(6378137.0, 2)*radians(p.maxx-p.minx)*(ln(tan(pi()/4+radians(p.maxy)/2))-ln(tan(pi()/4+radians(p.miny)/2))) AS m, %s AS g FROM perim p JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy)" % (_E2, _E2, _E2, _E2, _area("p.minx", "p.miny", "p.maxx", "p.maxy")))
+def g_bias_correlation(s, d):
+    a = _audit(s, d)
+    k, ratio = geo.mercator_area_scale(F.col("cy")), F.col("m") / F.col("g")
+    return a.agg(F.round(F.corr(ratio - 1, k - 1), 6).alias("r"), F.round(F.median(F.abs(ratio / k - 1)), 6).alias("median_deviation"), F.when(F.median(F.abs(ratio - 1)) < 0.001, "geodesic").otherwise("mercator").alias("stored_as"))
+
+
+@query(f"{_ECO} SELECT year(start_date)::INT AS year, count(*) AS n, count(*) FILTER (n_eco > 1) AS several, round(100.0*count(*) FILTER (n_eco > 1)/count(*), 6) AS pct_several, round(sum(area_ha - ha_dom - eco_resid_ha), 1) AS not_dominant_ha, round(sum(eco_resid_ha), 1) AS resid_ha, count(*) FILTER (eco_resid_ha < -0.01) AS negative FROM dom JOIN ar USING (perim_id) JOIN perim USING (perim_id) GROUP BY 1")
+def g_yearly_report(s, d):
+    pieces = _pieces(s, d)
+    area = pieces.groupBy("perim_id").agg(F.max("area_ha").alias("area_ha"))
+    rows = P.dominant(pieces).join(area, "perim_id").join(X.perimeters(s, d).select("perim_id", "start_date"), "perim_id")
+    several = F.count_if(F.col("n_eco") > 1)
+    return rows.groupBy(F.year("start_date").alias("year")).agg(
+        F.count("*").alias("n"),
+        several.alias("several"),
+        F.round(several * 100.0 / F.count("*"), 6).alias("pct_several"),
+        F.round(F.sum(F.col("area_ha") - F.col("ha_dom") - F.col("eco_resid_ha")), 1).alias("not_dominant_ha"),
+        F.round(F.sum("eco_resid_ha"), 1).alias("resid_ha"),
+        F.count_if(F.col("eco_resid_ha") < -0.01).alias("negative"),
+    )
+
+
+@query(f"{_ECO} SELECT eco, round(sum(ha)/100, 4) AS km2, round(100.0*sum(ha)/sum(sum(ha)) OVER (), 6) AS pct FROM pieces GROUP BY eco")
+def g_area_per_eco(s, d):
+    by = _pieces(s, d).groupBy("eco").agg(F.sum("ha").alias("ha"))
+    total = by.agg(F.sum("ha").alias("all"))
+    return by.join(F.broadcast(total)).select("eco", F.round(F.col("ha") / 100, 4).alias("km2"), F.round(F.col("ha") * 100.0 / F.col("all"), 6).alias("pct"))
+
+
+@query("SELECT zone_id, value AS smallest, listed FROM (SELECT zone_id, value, row_number() OVER (PARTITION BY zone_id ORDER BY count(*) DESC, value) AS k FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2004 AND value IS NOT NULL GROUP BY zone_id, value) JOIN (SELECT zone_id, value AS listed, row_number() OVER (PARTITION BY zone_id ORDER BY count(*) DESC, CASE value WHEN 12 THEN 1 ELSE 2 END) AS k2 FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2004 AND value IN (12, 3) GROUP BY zone_id, value) USING (zone_id) WHERE k = 1 AND k2 = 1")
+def g_mode_rules(s, d):
+    px = R.pixels_of_boxes(X.zones(s, d), ["zone_id"], X.GRID, "all_touched").join(X.land_cover(s).filter("year = 2004"), ["row", "col"])
+    a = R.mode_by_rule(px, ["zone_id"], "value").withColumnRenamed("mode", "smallest")
+    return a.join(R.mode_by_rule(px, ["zone_id"], "value", "listed", [12, 3]).withColumnRenamed("mode", "listed"), "zone_id")
+
+
+@query("SELECT tr::INT AS tr, tc::INT AS tc, count(*) FILTER (elev > 2000) AS high, count(*) FILTER (elev > 2000) = 0 AS is_empty, max(CASE WHEN elev > 2000 THEN elev ELSE -9999.0 END) AS top FROM (SELECT r // 6 AS tr, c // 6 AS tc, elev FROM dem) GROUP BY ALL")
+def s_dem_threshold(s, d):
+    t = X.elevation(s).select(F.floor(F.col("row") / 6).cast("int").alias("tr"), F.floor(F.col("col") / 6).cast("int").alias("tc"), "value")
+    high = F.count_if(F.col("value") > 2000)
+    return t.groupBy("tr", "tc").agg(high.alias("high"), (high == 0).alias("is_empty"), F.max(F.when(F.col("value") > 2000, F.col("value")).otherwise(-9999.0)).alias("top"))
+
+
+@query("SELECT zone_id, greatest(1, round((maxx-minx)/(500/111320.0)))::BIGINT AS width, greatest(1, round((maxy-miny)/(500/111320.0)))::BIGINT AS height FROM zone WHERE maxx-minx >= 0.01 AND maxy-miny >= 0.01")
+def s_pixel_dimensions(s, d):
+    step = 500 / geo.METRES_PER_DEGREE
+    side = lambda a, b: F.greatest(F.lit(1), F.round((F.col(b) - F.col(a)) / step)).cast("long")
+    return X.zones(s, d).filter("maxx - minx >= 0.01 and maxy - miny >= 0.01").select("zone_id", side("minx", "maxx").alias("width"), side("miny", "maxy").alias("height"))
+
+
+@query("SELECT r AS row, c AS col, " + ", ".join(f"max(CASE WHEN year = {y} THEN (value = 12)::INT ELSE 0 END)::INT AS y{y}" for y in range(2003, 2010)) + " FROM cls WHERE value IS NOT NULL AND -80.0+c*(20.0/24) >= -73 AND -80.0+c*(20.0/24) < -68 AND 1.0-r*(21.0/24) <= -8 GROUP BY r, c")
+def k_aoi_class_stack(s, d):
+    g = X.GRID
+    aoi = (g.left(F.col("col")) >= -73) & (g.left(F.col("col")) < -68) & (g.top(F.col("row")) <= -8)
+    is12 = F.when(F.col("value") == 12, 1).otherwise(0)
+    cut = X.land_cover(s).filter(F.col("value").isNotNull() & aoi).withColumn("is12", is12)
+    return cut.groupBy("row", "col").pivot("year", list(range(2003, 2010))).agg(F.max("is12")).na.fill(0).withColumnsRenamed({str(y): f"y{y}" for y in range(2003, 2010)})
+
+
+@query("SELECT year, count(DISTINCT doy) AS days, count(DISTINCT r*24+c) AS cells, min(doy)::INT AS first_doy, max(doy)::INT AS last_doy FROM px GROUP BY year")
+def g_distinct_days(s, d):
+    px = X.burned_pixels(s, d)
+    return px.groupBy("year").agg(F.countDistinct("doy").alias("days"), F.countDistinct("row", "col").alias("cells"), F.min("doy").alias("first_doy"), F.max("doy").alias("last_doy"))
+
+
+@query(f"{_ECO}, pz AS (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, greatest(p.minx, z.minx) AS minx, greatest(p.miny, z.miny) AS miny, least(p.maxx, z.maxx) AS maxx, least(p.maxy, z.maxy) AS maxy, year(start_date)+8 AS year FROM perim p JOIN zone z ON p.minx <= z.maxx AND z.minx <= p.maxx AND p.miny <= z.maxy AND z.miny <= p.maxy), m AS (SELECT perim_id, eco, value, greatest({_CUT}, 0) AS m2 FROM pz JOIN cls USING (year) WHERE {_TOUCH}), t AS (SELECT perim_id, eco, sum(CASE WHEN value = 12 THEN m2 ELSE 0 END)/1e6 AS a FROM m GROUP BY ALL) SELECT perim_id, eco, round(a, 4) AS cl12_eco_km2 FROM kept LEFT JOIN t USING (perim_id, eco)")
+def r_eco_class_long(s, d):
+    """Class area of each piece: the event is cut to the ecoregion first, then to the pixels."""
+    e = X.perimeters(s, d).withColumn("year", F.year("start_date") + 8)
+    z = X.zones(s, d).withColumn("eco", F.coalesce("zone_name", F.lit(scalar.NO_REGION)))
+    met = J.boxes_intersect(e, z, "perim_id", "zone_id", 1.0).join(F.broadcast(z.select("zone_id", "eco")), "zone_id").join(e.select("perim_id", "year"), "perim_id")
+    cut = met.select(F.struct("perim_id", "eco", "zone_id").alias("piece"), "year", F.greatest("a_minx", "b_minx").alias("minx"), F.greatest("a_miny", "b_miny").alias("miny"), F.least("a_maxx", "b_maxx").alias("maxx"), F.least("a_maxy", "b_maxy").alias("maxy"))
+    by = P.class_clip(cut, X.land_cover(s), X.GRID, (12,), "piece").groupBy("piece.perim_id", "piece.eco").agg(F.sum("cl12_km2").alias("km2"))
+    return P.decompose(e, X.zones(s, d)).filter("not residual").select("perim_id", "eco").join(by, ["perim_id", "eco"], "left").select("perim_id", "eco", F.round("km2", 4).alias("cl12_eco_km2"))
+
+
+@query()
+def r_vectorise_patches(s, d):
+    """Rings around every patch of at least MIN_PIX cells; no SQL for it, tests hold the areas against the cells."""
+    import pandas as pd
+
+    from emberline.operators.polygons import RING_TYPE, outline
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = outline(pdf["row"].to_numpy(), pdf["col"].to_numpy(), X.GRID)
+        return pd.DataFrame({"patch": [pdf["patch"].iloc[0]], "n_pix": [len(pdf)], "rings": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]]})
+
+    patches = _patches(s, d)
+    large = patches.groupBy("patch").agg(F.count("*").alias("n")).filter(F.col("n") >= P.MIN_PIX).select("patch")
+    return patches.join(large, "patch").select("patch", "row", "col").groupBy("patch").applyInPandas(trace, f"patch long, n_pix long, rings array<{RING_TYPE}>")
