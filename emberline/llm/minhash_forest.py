@@ -35,7 +35,7 @@ REGION = 6
 #: Share of equal signature values below which a candidate isn't confirmed on full sets; 5 standard deviations below 0.8.
 SIEVE = 0.62
 #: Best-connected members of a group that stand for it in the second round.
-HUBS = 8
+HUBS = 16
 
 _r = np.random.Generator(np.random.PCG64(7))
 _A = _r.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
