@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a draw; 52 bits are exact in a double.
@@ -98,11 +98,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, tree: list[Leaf] | None = None,
     bits = max(0, (max(1, total // (len(tree) * BUCKET_ROWS))).bit_length())
     rows = rows.withColumn("_bucket", F.shiftright("_order", 32 - bits).cast("int"))
     sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
-    # as many rows as there are shards and buckets: one in so many thousand of the input's
-    before = sizes.alias("x").join(sizes.alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("y._bucket") < F.col("x._bucket")), "left")
-    before = before.groupBy(F.col("x.shard").alias("shard"), F.col("x._bucket").alias("_bucket")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("_before"))
-    from pyspark.sql import Window
-
+    # a row for each shard and bucket: one in BUCKET_ROWS of the input's
+    earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("shard", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "doc_id", "text_crc32")) - 1
     out = rows.join(F.broadcast(before) if (1 << bits) * len(tree) <= 1 << 20 else before, ["shard", "_bucket"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + place).cast("long").alias("slot"), "grown_shard")
