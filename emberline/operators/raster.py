@@ -96,13 +96,12 @@ def mode_by_rule(rows: DataFrame, key: list[str], value: str, rule: str = "small
     return rows.select(*key).distinct().join(best, key, "left").select(*key, F.coalesce("mode", F.lit(0)).alias("mode"))
 
 
-def class_area(pixels: DataFrame, raster: DataFrame, key: list[str], cls: int, area: Column, tile: str | None = None) -> DataFrame:
+def class_area(pixels: DataFrame, raster: DataFrame, key: list[str], cls: int, area: Column) -> DataFrame:
     """(key, area): area of class `cls` in pixel sets, added over tiles.
 
     NULL where no tile covers the set, 0 where a tile does but has no pixel of the
     class.  `raster` has a row for each covered cell, its value NULL or a class.
     """
-    del tile
     covered = pixels.join(raster, ["row", "col"]).groupBy(*key).agg(F.sum(F.when(F.col("value") == cls, area).otherwise(0.0)).alias("area"))
     return pixels.select(*key).distinct().join(covered, key, "left")
 

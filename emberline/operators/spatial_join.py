@@ -2,13 +2,15 @@
 
 Catalyst plans an inequality join as a nested loop.  Here the side with extent
 is spread over the grid cells it touches, both sides meet on equal cells, and
-the exact predicate runs on what meets.  The grid adapts to nothing: give a cell
-about as large as the smaller extents.
+the exact predicate runs on what meets.  The cell is the caller's choice: about as
+large as the extents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import EARTH_RADIUS_KM, haversine_km
@@ -76,13 +78,6 @@ def boxes_intersect(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return met.filter(corner).select(left_key, right_key, *[f"a_{c}" for c in own], *[f"b_{c}" for c in own])
 
 
-def box_distance(x: Column, y: Column) -> Column:
-    """Plane distance from a point to the box minx..maxy, 0 inside."""
-    dx = F.greatest(F.col("minx") - x, x - F.col("maxx"), F.lit(0.0))
-    dy = F.greatest(F.col("miny") - y, y - F.col("maxy"), F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
-
-
 #: A dimension table (zones, countries) is compared with every row only up to this many rows.
 DIMENSION_ROWS = 10_000
 
@@ -112,8 +107,6 @@ def radius_time_pairs(points: DataFrame, key: str, day: str, radius_km: float =
     are cut into spans; a point meets its own and the neighbouring cells.  A
     point beyond most_lat, or without place or day, raises no error and is left out.
     """
-    import math
-
     high = radius_km / (EARTH_RADIUS_KM * math.pi / 180) * (1 + 1e-9)
     wide = high / math.cos(math.radians(most_lat))
     at = points.filter((F.abs(F.col(y)) <= most_lat) & F.col(x).isNotNull() & F.col(day).isNotNull()).select(
@@ -124,8 +117,3 @@ def radius_time_pairs(points: DataFrame, key: str, day: str, radius_km: float =
     other = at.withColumn("o", around).select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("d").alias("d2"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("ct") + F.col("o.t")).alias("ct"))
     near = at.join(other, ["cx", "cy", "ct"]).filter("k < k2").filter(F.abs(F.col("d") - F.col("d2")) <= days)
     return near.filter(haversine_km(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")) <= radius_km).select(F.col("k").alias("a"), F.col("k2").alias("b"))
-
-
-def number_by(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Rows numbered from 1 within groups of their first ordering column."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])))

@@ -5,7 +5,7 @@ The latest rules are the defaults; older ones are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import box_area_m2, haversine_km
@@ -139,13 +139,12 @@ def balance(pieces: DataFrame, key: str = "perim_id") -> DataFrame:
     return pieces.groupBy(key).agg(F.sum("ha").alias("total_ha"), F.max("area_ha").alias("area_ha")).withColumn("ok", F.abs(F.col("total_ha") - F.col("area_ha")) <= F.greatest(F.lit(BALANCE_MIN), F.col("area_ha") * BALANCE_SHARE))
 
 
-def class_clip(events: DataFrame, cover: DataFrame, grid: R.Grid, classes: tuple[int, ...], key: str = "perim_id", area: Column | None = None) -> DataFrame:
+def class_clip(events: DataFrame, cover: DataFrame, grid: R.Grid, classes: tuple[int, ...], key: str = "perim_id") -> DataFrame:
     """(key, cl<k>_km2 for each class): ellipsoidal area of the classes inside each box event.
 
     Pixels are cut to the event, so their areas are exact; they are disjoint, so
     nothing is dissolved.  NULL where no pixel is covered, 0 where none has the class.
     """
-    del area
     pixels = R.pixels_of_boxes(events, [key, "year", "minx", "miny", "maxx", "maxy"], grid, "all_touched")
     row, col = F.col("row"), F.col("col")
     piece = box_area_m2(F.greatest(F.col("minx"), grid.left(col)), F.greatest(F.col("miny"), grid.top(row + 1)), F.least(F.col("maxx"), grid.left(col + 1)), F.least(F.col("maxy"), grid.top(row)))
