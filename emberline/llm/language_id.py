@@ -12,6 +12,7 @@ training; the same rows set the score below which a text is rejected.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,16 +96,34 @@ def remainder(id_col: str) -> Column:
 
 
 def train(labelled: DataFrame, seed: int = 11) -> Model:
-    """Fit on columns key, lang, text. Rows without lang or text are left out; no rows give a model without languages."""
+    """Fit on columns key, lang, text. Rows without lang or text are left out; no rows give a model without languages.
+
+    The sample is bounded, so one task fits the model and only its tables reach the driver.
+    """
     rows = labelled.filter("lang is not null and text is not null and text <> ''")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
-    if not languages:
-        return Model([], np.zeros((len(ORDERS) << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / counts[k]))])
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < share[F.col("lang")]).select("key", "lang", "text").mapInArrow(_features, "lang string, idx binary, cnt binary").collect()
-    docs = [(languages.index(r.lang), np.frombuffer(r.idx, np.int32), np.frombuffer(r.cnt, np.float32)) for r in sorted(sample, key=lambda r: (r.lang, r.idx, r.cnt)) if len(r.idx)]
+    if languages:
+        share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / counts[k]))])
+        draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+        sample = rows.filter(draw < share[F.col("lang")]).select("key", "lang", "text").mapInArrow(_features, "lang string, idx binary, cnt binary")
+        for r in sample.repartition(1).mapInArrow(_fit_task(languages, seed), "model binary").collect():
+            return pickle.loads(r.model)
+    return Model([], np.zeros((len(ORDERS) << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+
+
+def _fit_task(languages: list[str], seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        docs = [(languages.index(lang), np.frombuffer(idx, np.int32), np.frombuffer(cnt, np.float32)) for lang, idx, cnt in sorted(rows) if len(idx)]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(docs, languages, seed))], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], seed: int = 11) -> Model:
+    """Gradient descent and calibration on (language, buckets, counts) of documents."""
     rng = np.random.default_rng(seed)
     docs = [docs[i] for i in rng.permutation(len(docs))]
     kept, docs = docs[: len(docs) // 5], docs[len(docs) // 5 :] or docs

@@ -11,6 +11,7 @@ stored between steps: every task replays them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from emberline.plans.scratch import materialize
 SAMPLE = 6000
 #: Features that each of the two heads selects.
 FEATURES = 128
-#: Pull towards rate 1, steps at most, and the relative misfit at which they end.
+#: Pull towards rate 1, steps at most, and the relative misfit, or change by a step, at which they end.
 PULL, STEPS, CLOSE = 1e-3, 40, 2e-4
 DOMAINS = ("toxic", "low", "high")
 
@@ -110,10 +111,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(draw < min(1.0, SAMPLE / max(1, n))).groupBy("_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("quality", "toxic", F.col(text_col).cast("string").alias("text"))
-    got = rows.mapInArrow(_features, "quality int, toxic int, terms binary").collect()
-    got = sorted(((r.terms, r.quality, r.toxic) for r in got), key=lambda r: (r[0], r[1], r[2]))
-    sets = [np.frombuffer(r[0], np.uint64) for r in got]
-    return fit_head(sets, np.array([float(r[2] > 0) for r in got])), fit_head(sets, np.array([float(r[1] > 0) for r in got]))
+    # the sample is bounded: one task fits, and only the heads reach the driver
+    for r in rows.mapInArrow(_features, "quality int, toxic int, terms binary").repartition(1).mapInArrow(_fit_task, "heads binary").collect():
+        return pickle.loads(r.heads)
+    return fit_head([], np.zeros(0)), fit_head([], np.zeros(0))
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((terms, q, t) for batch in batches for q, t, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    sets = [np.frombuffer(r[0], np.uint64) for r in rows]
+    heads = tuple(fit_head(sets, np.array([float(r[i] > 0) for r in rows])) for i in (2, 1))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(heads)], pa.binary())], ["heads"])
 
 
 def _posteriors(buf: np.ndarray, offs: np.ndarray, toxic: Head, quality: Head) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +195,9 @@ def fit_mixer(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rel
         if np.abs(misfit).max() < CLOSE:
             break
         steps = np.vstack([steps, misfit])
-        now = expected(steps)
+        before, now = now, expected(steps)
+        if np.abs((now - before) / np.maximum(mass, 1e-9)).max() < CLOSE:  # as near as nonnegative rates come
+            break
     return Mixer(toxic, quality, steps)
 
 
