@@ -30,7 +30,7 @@ from emberline.plans.scratch import materialize
 LISTED, UNITS, ENDINGS, CLASSES = 1 << 17, 2048, 256, 64
 ROUNDS = 6
 #: Tokens that a task counts before it passes the counts on.
-FLUSH = 1 << 23
+FLUSH = 1 << 21
 #: The token after the last word; no word has its bytes.
 END = K.hash_bytes(b" end of text ") - 2**63
 _ALL = 1 + UNITS + ENDINGS
