@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _sieved(_with_hubs(pairs, links, groups), one)
     more = materialize(_linked(more, texts, words, percent), "minhash-links")
     discard(texts)
-    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
+    if not more.isEmpty():
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
 
     member = one.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("component", "class").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
