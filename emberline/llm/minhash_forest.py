@@ -9,6 +9,10 @@ that are compared with their nearest neighbours in the order and with the
 region's heaviest path, the signature that most of the region agrees with.
 Candidates are confirmed on the full shingle sets.
 
+Members of regions that weren't compared in full, and of regions cut by the end
+of a stretch, are then compared by an exact join on the prefixes of their full
+sets, rarest shingles first, wherever two are not in one group yet.
+
 Copies of one set are one class from the start, so a group of exact copies,
 however large, is one row of the forest.  The orders are range-partitioned,
 so a crowded region spreads over many tasks.
@@ -34,8 +38,12 @@ TREES, DEPTH, LEAST = 16, 64, 3
 REGION = 6
 #: Share of equal signature values below which a candidate isn't confirmed on full sets; 5 standard deviations below 0.8.
 SIEVE = 0.62
+#: The same in crowds, where a pair isn't to be lost by chance: 8 standard deviations below 0.8.
+CROWD_SIEVE = 0.5
 #: Best-connected members of a group that stand for it in the second round.
 HUBS = 16
+#: Bits of the table that tells common shingles from rare ones; it only orders them, so collisions cost time.
+LEVEL_BITS = 20
 
 _r = np.random.Generator(np.random.PCG64(7))
 _A = _r.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -158,16 +166,24 @@ def order_candidates(keys: np.ndarray) -> np.ndarray:
     return out[out[:, 0] != out[:, 1]]
 
 
+def crowded(keys: np.ndarray) -> np.ndarray:
+    """Indexes among sorted keys of regions above REGION, and of the first and last region, which may go on elsewhere."""
+    n = len(keys)
+    cut = np.r_[0, np.flatnonzero((keys[1:, : 1 + LEAST] != keys[:-1, : 1 + LEAST]).any(1)) + 1, n]
+    size = np.diff(cut)
+    large = size > REGION
+    large[[0, -1]] = True
+    return np.flatnonzero(np.repeat(large, size))
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one stretch of the sorted orders, each once."""
+    """Candidate pairs of one stretch of the sorted orders, each once; a member of a crowd with itself."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def flush() -> pa.RecordBatch | None:
+    def flush() -> pa.RecordBatch:
         ids, keys = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        p = order_candidates(keys)
-        if not len(p):
-            return None
+        p = np.concatenate([order_candidates(keys), np.repeat(crowded(keys)[:, None], 2, axis=1)])
         p = np.unique(np.sort(ids[p], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
@@ -176,20 +192,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 1 + DEPTH)))
             size += batch.num_rows
         if size >= 400_000:  # goes on with the last row, so that its neighbour isn't missed
-            if out := flush():
-                yield out
+            yield flush()
             held, size = [(held[-1][0][-1:], held[-1][1][-1:])], 1
-    if held and (out := flush()):
-        yield out
+    if held:
+        yield flush()
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agree(share: float):
     """Pairs of which enough signature values are the same."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SIGNATURE) for c in (2, 3))
-            keep = (x == y).mean(axis=1) >= SIEVE
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SIGNATURE) for c in (2, 3))
+                keep = (x == y).mean(axis=1) >= share
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _confirm(words: int, percent: int):
@@ -215,10 +234,10 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sieved(pairs: DataFrame, classes: DataFrame, share: float = SIEVE) -> DataFrame:
     sig = classes.select("class", "signature")
     both = pairs.join(sig.select(F.col("class").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("signature").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_agree, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(_agree(share), "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -248,6 +267,69 @@ def _with_hubs(pairs: DataFrame, links: DataFrame, groups: DataFrame) -> DataFra
     return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
+def _bucket(flat: np.ndarray) -> np.ndarray:
+    return (K.mix(flat) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
+
+
+def _count_buckets(words: int):
+    """Shingles in each bucket, by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << LEVEL_BITS, np.int64)
+        for batch in batches:
+            for _, _, buf, offs in K.text_slices(batch, "text"):
+                n += np.bincount(_bucket(document_sets(buf, offs, words)[0]), minlength=len(n))
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], ["bucket", "n"])
+
+    return run
+
+
+def prefixes(flat: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place, shingle) of the shingles of each set of which two linked sets share one at least, by level, then hash."""
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((flat, level[_bucket(flat)], owner))
+    place = np.arange(len(flat)) - at[owner]
+    head = place <= (n - -(-percent * n // 100))[owner]  # linked sets have percent of either in common
+    return owner[head], place[head], flat[order][head]
+
+
+def _prefix_rows(words: int, percent: int, level: np.ndarray):
+    """A row for each shingle of a set's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offs in K.text_slices(batch, "text"):
+                flat, at = document_sets(buf, offs, words)
+                owner, place, h = prefixes(flat, at, level, percent)
+                ids = batch.column(0).slice(a, b - a).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(ids[owner]), pa.array(np.diff(at)[owner].astype(np.int32)), pa.array(place.astype(np.int32))], ["shingle", "class", "size", "place"]
+                )
+
+    return run
+
+
+def _crowd_pairs(texts: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs of sets in two groups that can be linked, by an exact prefix join."""
+    level = np.zeros(1 << LEVEL_BITS, np.uint8)
+    got = texts.mapInArrow(_count_buckets(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    level[got.column("bucket").to_numpy()] = 4 * np.log2(got.column("n").to_numpy())
+    posts = texts.mapInArrow(_prefix_rows(words, percent, level), "shingle long, class long, size int, place int")
+    posts = posts.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    posts = materialize(posts, "minhash-prefixes")
+    between = posts.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("shingle")
+    met = materialize(posts.join(between, "shingle", "left_semi"), "minhash-prefixes")
+    discard(posts)
+    x, y = (met.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("class", "size", "place", "component")]) for end in "xy")
+    # what two sets can have in common from their first common shingle on
+    most = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")).cast("long")
+    enough = (100 + percent) * most >= percent * (F.col("size_x").cast("long") + F.col("size_y"))
+    both = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("class_x") < F.col("class_y")) & (F.col("component_x") != F.col("component_y")) & enough)
+    return both.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -272,10 +354,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = one.select("class", "signature").mapInArrow(_grow, "class long, key binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
-    pairs = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
-    pairs = materialize(_sieved(pairs, one), "minhash-pairs")
+    found = materialize(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "minhash-found")
+    crowd = found.filter("a = b").select(F.col("a").alias("class"))
+    pairs = materialize(_sieved(found.filter("a <> b"), one), "minhash-pairs")
 
-    ends = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+    ends = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).unionAll(crowd).distinct()
     wanted = ends.join(one.select("class", "least_id", "digest"), "class")
     # rows that repeat an id may have other texts, which the digest tells apart
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["least_id"])).select("class", "digest", "text")
@@ -285,9 +368,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(connected_components(links, "a", "b"), "minhash-groups")
     more = _sieved(_with_hubs(pairs, links, groups), one)
     more = materialize(_linked(more, texts, words, percent), "minhash-links")
-    discard(texts)
+    joined = lambda links: connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), "a", "b")
     if not more.isEmpty():
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
+        groups = materialize(joined(more), "minhash-groups")
+    rest = _sieved(_crowd_pairs(texts.join(crowd, "class", "left_semi"), groups, words, percent), one, CROWD_SIEVE)
+    rest = materialize(_linked(rest, texts, words, percent), "minhash-links")
+    discard(texts)
+    if not rest.isEmpty():
+        groups = joined(rest)
 
     member = one.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("component", "class").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
