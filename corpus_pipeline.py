@@ -29,18 +29,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, train(learn), COLUMNS).filter("not rejected").select(*COLUMNS)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """COLUMNS and _row, the identity of a row: ids may be null or repeated, rows of one id and text are the same."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates, that of the smallest id, a null id last; rows of one id stand for themselves."""
+    docs = _with_row(docs)
+    groups = near_duplicates(docs, id_col="_row", words=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    kept = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least).select("least._row")
+    return docs.join(kept, "_row").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with benchmark passages."""
-    docs = docs.select(*COLUMNS)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    """Rows that aren't contaminated with benchmark passages, whatever others have their id."""
+    docs = _with_row(docs)
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").filter("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
