@@ -51,10 +51,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its rate says."""
+    """Every document as often as its rate says; rates within 0.25 of a whole number are that number, so clean documents stay."""
     docs = docs.select(*COLUMNS)
     mixer = fit_mixer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, relative=True)
-    rated = mix(docs, mixer, COLUMNS).filter("copies > 0")
+    rated = mix(docs, mixer, COLUMNS, snap=0.25).filter("copies > 0")
     return rated.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 

@@ -213,12 +213,13 @@ def _rates(m: Mixer, columns: int):
     return run
 
 
-def mix(docs: DataFrame, mixer: Mixer, keep: list[str], snap: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, mixer: Mixer, keep: list[str], snap: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with n_tokens, p_toxic, p_low, p_high, rate and copies.
 
     copies realises the rate: its whole part, and one more with the chance of
-    the rest, decided by a hash of the id; rates within `snap` of a whole number
-    are that number.  A null or empty text has no tokens and the posterior of a
+    the rest, decided by a hash of the id, so that the expected copies are the rate.
+    With snap > 0 rates within it of a whole number are that number, and the
+    copies miss the targets by as much.  A null or empty text has no tokens and the posterior of a
     text without any known term.  Repeated rows and ids each give a row.
     """
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_read"))
