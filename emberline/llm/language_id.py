@@ -105,8 +105,10 @@ def train(labelled: DataFrame, seed: int = 11) -> Model:
     languages = sorted(counts)
     if languages:
         share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / counts[k]))])
-        draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-        sample = rows.filter(draw < share[F.col("lang")]).select("key", "lang", "text").mapInArrow(_features, "lang string, idx binary, cnt binary")
+        draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
+        # a row that is repeated is drawn as one
+        drawn = rows.filter(draw < share[F.col("lang")]).select("key", "lang", "text").dropDuplicates()
+        sample = drawn.mapInArrow(_features, "lang string, idx binary, cnt binary")
         for r in sample.repartition(1).mapInArrow(_fit_task(languages, seed), "model binary").collect():
             return pickle.loads(r.model)
     return Model([], np.zeros((len(ORDERS) << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -194,8 +196,11 @@ def _predict(model: Model):
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred, score and rejected.
 
-    A null text, or one without letters, is `und` with score 0 and rejected.
+    A null text, or one without letters, is `und` with score 0 and rejected.  A
+    kept column that has the name of a result gives way to it; other columns are
+    ignored.  An empty table gives no rows; a text of any length is read whole.
     """
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected", "_read")]
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_read"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double, rejected boolean")

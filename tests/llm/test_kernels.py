@@ -103,12 +103,43 @@ def test_spherical_kmeans_and_blocks():
     assert all(find(i) == find(j) for i, j in zip(*np.nonzero(want), strict=True)) and len(edges) < 400
 
 
-def test_head_learns_a_word_and_replay_is_projected():
+def test_head_learns_a_word():
     rng = np.random.default_rng(4)
     docs = [np.unique(rng.integers(1, 50, 12).astype(np.uint64)) for _ in range(300)]
     y = np.array([float(7 in d) for d in docs])
     head = soft_mixing.fit_head(docs, y)
     assert head.weights[list(head.features).index(7)] > 2
     assert soft_mixing.fit_head([], np.zeros(0)).bias == 0
-    r = soft_mixing.replay(np.array([[1.0, 0, 0], [0, 1, 0]]), np.array([[2.0, -0.5, 0]]))
-    assert r.tolist() == [0.0, pytest.approx(1.5)]
+
+
+@pytest.mark.parametrize("weights,relative", [((0.0, 1.0, 1.0), True), ((0.0, 0.2, 0.8), False), ((0.3, 0.3, 0.4), False), ((1.0, 3.0, 0.5), True)])
+def test_fitted_rates_are_the_least_squares(weights, relative):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.1, 0.2, 0.5], 400)
+    n = rng.integers(0, 900, 400).astype(float)
+    w = np.array(weights)
+    want = lambda mass: w * mass if relative else w / w.sum() * mass.sum()
+    pull = 0.01
+    steps, mass, total = soft_mixing.fit_rates(lambda f: f(n[:150], p[:150]) + f(n[150:], p[150:]), want, pull)
+    r = soft_mixing.replay(p, steps, pull)
+    assert np.allclose(total, (n * r) @ p) and np.allclose(mass, n @ p) and len(steps) < 40
+    # plain projected gradient, by documents, until it stands still
+    scale, x = n.sum() / mass**2, np.ones(400)
+    lipschitz = np.linalg.norm((p * n[:, None]).T @ p * scale, 2) + pull
+    y, k = x, 1.0
+    for _ in range(200_000):
+        new = np.maximum(0, y - (p @ (scale * ((n * y) @ p - want(mass))) + pull * (y - 1)) / lipschitz)
+        if np.abs(new - x).max() < 1e-13:
+            break
+        after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        y, k = (new, 1.0) if (y - new) @ (new - x) > 0 else (new + (k - 1) / after * (new - x), after)
+        x = new
+    full = n > 0
+    assert np.abs(r - x)[full].max() < 1e-4
+    # and the conditions that only the least sum meets
+    gradient = p @ (scale * (total - want(mass))) + pull * (r - 1)
+    assert np.abs(gradient[full & (r > 0)]).max() < 1e-5 and (gradient[r == 0] > -1e-5).all()
+
+
+def test_rates_without_tokens():
+    assert soft_mixing.fit_rates(lambda f: f(np.zeros(3), np.full((3, 3), 1 / 3)), lambda m: m)[0] == []

@@ -238,15 +238,33 @@ def test_near_vectors(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
 
 
+def known_toxic(out, labels):
+    """Copies of documents that are labelled toxic and recognised as such."""
+    return out.join(labels, "doc_id").filter("toxic = 1 and p_toxic > 0.5").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+
+
 def test_mixing(spark, docs, nothing):
     docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     m = soft_mixing.fit_mixer(docs_, labels, {"toxic": 0.0, "low": 0.3, "high": 0.7})
     out = soft_mixing.mix(docs_, m, ["doc_id"])
     r = out.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in soft_mixing.DOMAINS]).first()
-    assert r.low / r.all == pytest.approx(0.3, abs=0.01) and r.high / r.all == pytest.approx(0.7, abs=0.02) and r.toxic / r.all < 0.05
+    assert r.low / r.all == pytest.approx(0.3, abs=0.01) and r.high / r.all == pytest.approx(0.7, abs=0.02)
+    # nothing lies between the fit and its totals, and what misses the target is told
+    got = [r.toxic, r.low, r.high]
+    assert got == pytest.approx(list(m.total), rel=1e-9) and m.misfit == pytest.approx((np.array(got) - m.target) / m.mass, rel=1e-6)
+    assert 0 < m.misfit[0] < 0.2 and np.abs(m.misfit[1:]).max() < 0.03
+    assert known_toxic(out, labels) == 0
     known = out.join(labels, "doc_id")
     assert known.filter("toxic = 0 and p_toxic > 0.5").count() == 0 and known.filter("toxic = 1 and p_toxic > 0.5").count() >= 0.8 * known.filter("toxic = 1").count()
     none = soft_mixing.fit_mixer(docs, labels.filter("false"), {"toxic": 1.0, "low": 1.0, "high": 1.0}, relative=True)
     assert soft_mixing.mix(docs, none, ["doc_id", "key"]).filter("copies = 1").count() == len(ROWS)
     assert soft_mixing.mix(nothing, soft_mixing.fit_mixer(nothing, labels, {"toxic": 0.0, "low": 1.0, "high": 1.0}), ["doc_id"]).count() == 0
+
+    # names that the operator uses itself, and an id that many documents share
+    named = docs_.withColumns({c: F.lit(1) for c in ("quality", "toxic", "n_tokens", "rate", "_id", "_draw", "_read", "p_low")})
+    again = soft_mixing.mix(named, soft_mixing.fit_mixer(named, labels, {"toxic": 0.0, "low": 0.3, "high": 0.7}), ["doc_id", "rate", "toxic"])
+    assert again.columns == ["doc_id", "toxic", "n_tokens", "p_toxic", "p_low", "p_high", "rate", "copies"]
+    assert again.select("doc_id", "copies").exceptAll(out.select("doc_id", "copies")).count() == 0
+    one = docs_.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(6)).otherwise(F.col("doc_id")))
+    assert soft_mixing.mix(one, soft_mixing.fit_mixer(one, labels, {"toxic": 0.0, "low": 0.3, "high": 0.7}), ["doc_id"]).count() == docs_.count()
