@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
-columns of documents.
+columns of documents; other columns are ignored.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,10 +20,16 @@ from emberline.plans.scratch import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Change of the expected tokens of each domain: toxic ones go, the rest stays.
 WEIGHTS = {"toxic": 0.0, "low": 1.0, "high": 1.0}
+#: Pull of the rates towards 1: a document that is clean with some certainty isn't to make up for others.
+PULL = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a rejected text goes."""
+    """Documents whose language is recognised; a rejected text goes.
+
+    Rejected is a text that is null or has no letters, or whose calibrated score
+    is below the model's bound.  Rows are judged one by one, so repeats stay.
+    """
     docs = docs.select(*COLUMNS)
     learn = docs.filter(remainder("doc_id") != 0).select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
     return identify(docs, train(learn), COLUMNS).filter("not rejected").select(*COLUMNS)
@@ -44,17 +50,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that aren't contaminated with benchmark passages, whatever others have their id."""
+    """Rows without any window of a benchmark item.
+
+    However long a document is, one whole window (13 words, or a shorter item in
+    full) makes it go.  Rows are judged by id and text, so a clean row stays
+    whatever others have its id; null and empty texts stay.
+    """
     docs = _with_row(docs)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").filter("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").filter("n_hit > 0").select(F.col("doc_id").alias("_row")).distinct()
     return docs.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its rate says; rates within 0.25 of a whole number are that number, so clean documents stay."""
+    """Every document as often as its rate says, in expectation: its copies are drawn by a hash of id and text."""
     docs = docs.select(*COLUMNS)
-    mixer = fit_mixer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, relative=True)
-    rated = mix(docs, mixer, COLUMNS, snap=0.25).filter("copies > 0")
+    mixer = fit_mixer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, relative=True, pull=PULL)
+    rated = mix(docs, mixer, COLUMNS).filter("copies > 0")
     return rated.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
@@ -65,7 +76,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mixture", mixture), ("shard", shard)]
 
-#: Models are trained and documents compared in ways that SQL cannot express; tests hold the stages against brute force.
+#: Models are trained and documents compared in ways that SQL cannot express; tests/llm/test_stages.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
