@@ -61,8 +61,9 @@ def residual(area: Column, *classes: Column) -> Column:
 
 
 def sampled(key: Column, share: float, seed: int = 42) -> Column:
-    """A reproducible Bernoulli draw: the same rows on every run, each with probability `share`."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    """A reproducible Bernoulli draw by a digest of key and seed: the same rows on every run, each with probability `share`."""
+    draw = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
+    return F.pmod(draw, F.lit(1_000_000)) < round(share * 1_000_000)
 
 
 def year_in(text: Column) -> Column:

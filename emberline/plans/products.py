@@ -5,14 +5,15 @@ The latest rules are the defaults; older ones are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import box_area_m2, haversine_km
-from emberline.functions.scalar import NO_REGION, thematic
+from emberline.functions.scalar import NO_REGION, residual, thematic
 from emberline.operators import raster as R
 from emberline.operators.components import connected_components
 from emberline.operators.spatial_join import boxes_intersect, first_match, nearest_box, points_in_boxes, radius_time_pairs
+from emberline.plans.scratch import materialize
 
 # fixed values
 SLIVER_HA, SLIVER_SHARE = 0.5, 0.001
@@ -106,37 +107,128 @@ def country_cascade(boxes: DataFrame, zones: DataFrame, key: str) -> DataFrame:
 # --- GFA -----------------------------------------------------------------------
 
 
-def decompose(events: DataFrame, zones: DataFrame, key: str = "perim_id", cell: float = 1.0) -> DataFrame:
-    """(key, eco, ha, area_ha): an event's pieces by ecoregion and `sin_region` for what is left.
+BOX = ("minx", "miny", "maxx", "maxy")
 
-    Pieces of one name are added up; those below the larger of 0.5 ha and 0.1 %
-    of the event are dropped; the residual keeps its sign, negative where
-    ecoregions overlap, and its row is left out where it is within half a cent
-    of a hectare of 0.
+
+def event_area(events: DataFrame, key: str = "perim_id") -> DataFrame:
+    """(key, area_ha) of box events."""
+    return events.select(key, (box_area_m2(*[F.col(c) for c in BOX]) / 1e4).alias("area_ha"))
+
+
+def zone_pieces(events: DataFrame, zones: DataFrame, key: str = "perim_id", cell: float = 1.0) -> DataFrame:
+    """(key, zone_id, eco, fast, minx..maxy, ha): what events and zones have in common, with an area.
+
+    An event that lies within a zone (borders may touch) is the piece of the
+    first such zone by id and of no other (`fast`); only the others are cut.
     """
-    area = events.select(key, (box_area_m2(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")) / 1e4).alias("area_ha"))
     met = boxes_intersect(events, zones, key, "zone_id", cell)
-    piece = box_area_m2(F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny"), F.least("a_maxx", "b_maxx"), F.least("a_maxy", "b_maxy")) / 1e4
-    named = met.withColumn("ha", piece).join(F.broadcast(zones.select("zone_id", F.coalesce("zone_name", F.lit(NO_REGION)).alias("eco"))), "zone_id")
-    pieces = named.groupBy(key, "eco").agg(F.sum("ha").alias("ha")).join(area, key)
-    kept = pieces.filter(F.col("ha") >= F.greatest(F.lit(SLIVER_HA), F.col("area_ha") * SLIVER_SHARE)).select(key, "eco", "ha", "area_ha", F.lit(False).alias("residual"))
-    used = kept.groupBy(key).agg(F.sum("ha").alias("used"))
-    rest = area.join(used, key, "left").select(key, F.lit(NO_REGION).alias("eco"), (F.col("area_ha") - F.coalesce("used", F.lit(0.0))).alias("ha"), "area_ha", F.lit(True).alias("residual"))
-    return kept.unionByName(rest.filter(F.abs(F.col("ha")) >= 0.005))
-
-
-def dominant(pieces: DataFrame, key: str = "perim_id") -> DataFrame:
-    """(key, eco, n_eco, ha_dom, eco_resid_ha): the largest piece, ties to the earlier name; `sin_region` and 0 without pieces."""
-    own = ~F.col("residual")
-    best = pieces.groupBy(key).agg(
-        F.min_by(F.struct("eco", "ha"), F.when(own, F.struct((-F.round("ha", 6)).alias("o"), "eco"))).alias("d"), F.sum(own.cast("int")).alias("n"), F.sum(F.when(~own, F.col("ha"))).alias("r")
+    inside = (F.col("a_minx") >= F.col("b_minx")) & (F.col("a_maxx") <= F.col("b_maxx")) & (F.col("a_miny") >= F.col("b_miny")) & (F.col("a_maxy") <= F.col("b_maxy"))
+    met = met.withColumn("holder", F.min(F.when(inside, F.col("zone_id"))).over(Window.partitionBy(key)))
+    met = met.filter(F.col("holder").isNull() | (F.col("holder") == F.col("zone_id")))
+    cut = {"minx": F.greatest("a_minx", "b_minx"), "miny": F.greatest("a_miny", "b_miny"), "maxx": F.least("a_maxx", "b_maxx"), "maxy": F.least("a_maxy", "b_maxy")}
+    out = met.select(key, "zone_id", F.col("holder").isNotNull().alias("fast"), *[c.alias(n) for n, c in cut.items()])
+    names = zones.select("zone_id", F.coalesce("zone_name", F.lit(NO_REGION)).alias("eco"))
+    return out.withColumn("ha", box_area_m2(*[F.col(c) for c in BOX]) / 1e4).filter("ha > 0").join(names, "zone_id")
+
+
+def decompose(events: DataFrame, zones: DataFrame, key: str = "perim_id", cell: float = 1.0, cut: DataFrame | None = None) -> DataFrame:
+    """(key, eco, ha, area_ha, residual): the rows of the long layer.
+
+    Pieces of one name are added up; those below the limit, the larger of 0.5 ha
+    and 0.1 % of the event, are dropped.  An event that no zone shares an area
+    with is one residual row, whatever its size; another event has one where what
+    its pieces leave reaches the limit.  So an event below the limit within a
+    zone has no row, and overlapping zones give no row of negative area.  `cut` is
+    zone_pieces() of the same events where the caller has it.
+    """
+    area = event_area(events, key)
+    by_name = (cut or zone_pieces(events, zones, key, cell)).groupBy(key, "eco").agg(F.sum("ha").alias("ha")).join(area, key)
+    limit = F.greatest(F.lit(SLIVER_HA), F.col("area_ha") * SLIVER_SHARE)
+    kept = by_name.filter(F.col("ha") >= limit).select(key, "eco", "ha", "area_ha", F.lit(False).alias("residual"))
+    used = by_name.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("ha") >= limit, F.col("ha"))), F.lit(0.0)).alias("used"))
+    rest = area.join(used, key, "left").withColumn("ha", F.col("area_ha") - F.coalesce("used", F.lit(0.0)))
+    rest = rest.filter(F.when(F.col("used").isNull(), F.col("area_ha") > 0).otherwise(F.col("ha") >= limit))
+    return kept.unionByName(rest.select(key, F.lit(NO_REGION).alias("eco"), "ha", "area_ha", F.lit(True).alias("residual")))
+
+
+def dominant(events: DataFrame, pieces: DataFrame, key: str = "perim_id") -> DataFrame:
+    """(key, area_ha, eco, n_eco, ha_dom, eco_resid_ha) of every event.
+
+    eco is the largest piece, ties to the earlier name, `sin_region` and 0
+    without pieces.  The residual keeps its sign: negative where zones overlap.
+    """
+    own = pieces.filter("not residual").groupBy(key).agg(
+        F.min_by(F.struct("eco", "ha"), F.struct((-F.round("ha", 6)).alias("o"), "eco")).alias("d"), F.count("*").alias("n"), F.sum("ha").alias("used")
     )
-    return best.select(key, F.coalesce("d.eco", F.lit(NO_REGION)).alias("eco"), F.col("n").cast("long").alias("n_eco"), F.coalesce("d.ha", F.lit(0.0)).alias("ha_dom"), F.coalesce("r", F.lit(0.0)).alias("eco_resid_ha"))
+    out = event_area(events, key).join(own, key, "left")
+    return out.select(
+        key, "area_ha", F.coalesce("d.eco", F.lit(NO_REGION)).alias("eco"), F.coalesce("n", F.lit(0)).cast("long").alias("n_eco"), F.coalesce("d.ha", F.lit(0.0)).alias("ha_dom"), (F.col("area_ha") - F.coalesce("used", F.lit(0.0))).alias("eco_resid_ha")
+    )
+
 
+def uncovered(events: DataFrame, boxes: DataFrame, key: str = "perim_id") -> DataFrame:
+    """(key, minx..maxy): what the boxes of the same key leave of an event, as disjoint boxes.
 
-def balance(pieces: DataFrame, key: str = "perim_id") -> DataFrame:
-    """(key, total_ha, area_ha, ok): whether the pieces add up to the event within the tolerance; no pieces give a null total."""
-    return pieces.groupBy(key).agg(F.sum("ha").alias("total_ha"), F.max("area_ha").alias("area_ha")).withColumn("ok", F.abs(F.col("total_ha") - F.col("area_ha")) <= F.greatest(F.lit(BALANCE_MIN), F.col("area_ha") * BALANCE_SHARE))
+    The borders of an event and of its boxes cut it into cells, of which those
+    that no box covers are left.  Events without boxes are left whole.
+    """
+    own = events.select(key, *BOX)
+    cut = boxes.select(key, *[F.col(c).alias(f"b_{c}") for c in BOX])
+    lists = cut.groupBy(key).agg(F.collect_list(F.struct(*[f"b_{c}" for c in BOX])).alias("held"))  # a box for each zone of an event
+    both = own.join(lists, key, "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<b_minx:double,b_miny:double,b_maxx:double,b_maxy:double>>")))
+
+    def borders(low: str, high: str) -> Column:
+        inner = F.flatten(F.transform("held", lambda b: F.array(b[f"b_{low}"], b[f"b_{high}"])))
+        all_ = F.array_sort(F.array_distinct(F.concat(F.array(low, high), F.filter(inner, lambda v: (v > F.col(low)) & (v < F.col(high))))))
+        return F.zip_with(F.slice(all_, 1, F.size(all_) - 1), F.slice(all_, 2, F.size(all_) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    cells = both.withColumns({"x": borders("minx", "maxx"), "y": borders("miny", "maxy")}).withColumn("x", F.explode("x")).withColumn("y", F.explode("y"))
+    held = F.exists("held", lambda b: (b["b_minx"] <= F.col("x.a")) & (b["b_maxx"] >= F.col("x.b")) & (b["b_miny"] <= F.col("y.a")) & (b["b_maxy"] >= F.col("y.b")))
+    return cells.filter(~held).select(key, F.col("x.a").alias("minx"), F.col("y.a").alias("miny"), F.col("x.b").alias("maxx"), F.col("y.b").alias("maxy"))
+
+
+def event_classes(events: DataFrame, cover: DataFrame, grid: R.Grid, key: str = "perim_id") -> DataFrame:
+    """(key, area_ha, cl12_km2, cl3_km2, cl_x_km2) of events: classes rounded to 6 places, the rest from the unrounded area."""
+    sums = class_clip(events, cover, grid, (12, 3), key).select(key, *[F.round(f"cl{k}_km2", 6).alias(f"cl{k}_km2") for k in (12, 3)])
+    rest = residual(F.col("area_ha") / 100, F.col("cl12_km2"), F.col("cl3_km2"))
+    return event_area(events, key).join(sums, key).withColumn("cl_x_km2", F.round(rest, 6) + 0.0)
+
+
+def long_layer(events: DataFrame, zones: DataFrame, cover: DataFrame, grid: R.Grid, key: str = "perim_id") -> DataFrame:
+    """(key, eco, is_dominant, area_ha_eco, cl12_eco_km2, cl3_eco_km2, cl_x_eco_km2): a row for each piece of an event.
+
+    The classes of an event's only piece, unless it is a residual or nameless,
+    are those of the event; of others, those of the pixels cut to the piece.
+    Null where the event's class is.  The rest is taken from the area already
+    rounded to 2 places.  events hold key, year and the box.
+    """
+    parts_of = materialize(zone_pieces(events, zones, key), "zone-pieces")
+    pieces = materialize(decompose(events, zones, key, cut=parts_of), "pieces")
+    whole = event_classes(events, cover, grid, key).select(key, "cl12_km2", "cl3_km2")
+    count = Window.partitionBy(key)
+    rows = pieces.withColumn("only", (F.count("*").over(count) == 1) & (F.col("eco") != NO_REGION))
+    cut = parts_of.join(pieces.filter("not residual").select(key, "eco"), [key, "eco"]).select(key, "eco", *BOX)
+    left = uncovered(events.join(pieces.filter("residual").select(key), key, "left_semi"), cut, key).withColumn("residual", F.lit(True))
+    parts = cut.withColumn("residual", F.lit(False)).unionByName(left.withColumn("eco", F.lit(NO_REGION)))
+    parts = parts.join(events.select(key, "year"), key).withColumn("part", F.struct(key, "eco", "residual", *BOX))
+    sums = class_clip(parts, cover, grid, (12, 3), "part").groupBy(F.col(f"part.{key}").alias(key), "part.eco", "part.residual").agg(F.sum("cl12_km2").alias("p12"), F.sum("cl3_km2").alias("p3"))
+    best = dominant(events, pieces, key).select(key, F.col("eco").alias("best"))
+    out = rows.join(sums, [key, "eco", "residual"], "left").join(whole, key).join(best, key)
+    own = {k: F.when(F.col(f"cl{k}_km2").isNotNull(), F.when(F.col("only"), F.col(f"cl{k}_km2")).otherwise(F.round(F.coalesce(f"p{k}", F.lit(0.0)), 6))) for k in (12, 3)}
+    out = out.select(key, "eco", "residual", (F.col("eco") == F.col("best")).alias("is_dominant"), F.round("ha", 2).alias("area_ha_eco"), *[c.alias(f"cl{k}_eco_km2") for k, c in own.items()])
+    return out.withColumn("cl_x_eco_km2", F.round(residual(F.col("area_ha_eco") / 100, F.col("cl12_eco_km2"), F.col("cl3_eco_km2")), 6) + 0.0)
+
+
+def balance(layer: DataFrame, whole: DataFrame, key: str = "perim_id") -> DataFrame:
+    """(key, sum12, cl12_km2, ok12, sum3, cl3_km2, ok3): whether the pieces' classes add up to the event's.
+
+    A sum without any value is null, as is then its verdict; the tolerance is
+    the larger of 1e-6 and 0.5 %.  Slivers have no row, so their classes may be missing.
+    """
+    sums = layer.groupBy(key).agg(F.sum("cl12_eco_km2").alias("sum12"), F.sum("cl3_eco_km2").alias("sum3"))
+    out = sums.join(whole.select(key, "cl12_km2", "cl3_km2"), key, "left")
+    ok = lambda k: F.abs(F.col(f"sum{k}") - F.col(f"cl{k}_km2")) <= F.greatest(F.lit(BALANCE_MIN), F.col(f"cl{k}_km2") * BALANCE_SHARE)
+    return out.select(key, "sum12", "cl12_km2", ok(12).alias("ok12"), "sum3", "cl3_km2", ok(3).alias("ok3"))
 
 
 def class_clip(events: DataFrame, cover: DataFrame, grid: R.Grid, classes: tuple[int, ...], key: str = "perim_id") -> DataFrame:

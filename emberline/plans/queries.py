@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,36 +10,11 @@ from emberline.operators import raster as R
 from emberline.operators import spatial_join as J
 from emberline.plans import fixtures as X
 from emberline.plans import products as P
+from emberline.plans.registry import ORACLES, QUERIES, query
+from emberline.plans.registry import box_area_sql as _area
 from emberline.sources import tables as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_E1, _E2, _QP, _R2 = geo.E1, geo.E2, geo.Q_POLE, geo.AUTHALIC_R2
-
-
-def _sb(lat: str) -> str:
-    """SQL for the sine of the authalic latitude."""
-    s = f"sin(radians({lat}))"
-    return f"((1-{_E2!r})*({s}/(1-{_E2!r}*{s}*{s}) - ln((1-{_E1!r}*{s})/(1+{_E1!r}*{s}))/(2*{_E1!r}))/{_QP!r})"
-
-
-def _area(minx: str, miny: str, maxx: str, maxy: str) -> str:
-    return f"({_R2!r}*radians(({maxx})-({minx}))*({_sb(maxy)}-{_sb(miny)}))"
-
-
-def query(sql: str | None = None, ctes: bool = True, recursive: bool = False):
-    """Register a query under its function's name, and its SQL with the input CTEs before it."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{X.CTES}" + ("," if sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if ctes else sql
-        return f
-
-    return add
-
-
+_E2 = geo.E2
 _THEMATIC = "confidence >= 80 AND type IN (0, 2) AND latitude BETWEEN -20 AND 1 AND longitude BETWEEN -80 AND -60"
 _SEL = f"+ sel AS (SELECT * FROM det WHERE {_THEMATIC})"
 _HAV = "2*6371.0*asin(sqrt(pow(sin((radians(b.latitude)-radians(a.latitude))/2),2)+cos(radians(a.latitude))*cos(radians(b.latitude))*pow(sin((radians(b.longitude)-radians(a.longitude))/2),2)))"
@@ -112,11 +85,11 @@ def p_event_keys(s, d):
     return p.select("perim_id", scalar.event_key("GFA", ("_%d", F.year("start_date")), ("_%06d", F.col("perim_id"))).alias("event_uid"), F.year("start_date").alias("year"), F.month("start_date").alias("month"))
 
 
-@query("SELECT det_id, round(6378137.0*radians(longitude), 3) AS x, round(6378137.0*ln(tan(pi()/4+radians(latitude)/2)), 3) AS y, round(degrees(2*atan(exp(ln(tan(pi()/4+radians(latitude)/2)))-pi()/2)) * 0 + latitude, 6) AS back FROM det")
+@query("SELECT det_id, round(x, 3) AS x, round(y, 3) AS y, round(degrees(x/6378137.0), 6) AS lon, round(degrees(asin(tanh(y/6378137.0))), 6) AS lat FROM (SELECT det_id, 6378137.0*radians(longitude) AS x, 6378137.0*ln(tan(pi()/4+radians(latitude)/2)) AS y FROM det)", ctes=True)
 def p_mercator_round_trip(s, d):
-    det = X.detections(s, d)
-    y = geo.mercator_y(F.col("latitude"))
-    return det.select("det_id", F.round(geo.mercator_x(F.col("longitude")), 3).alias("x"), F.round(y, 3).alias("y"), F.round(geo.inverse_mercator_lat(y), 6).alias("back"))
+    """Forward and back; the SQL inverts with another formula (the Gudermannian as asin(tanh))."""
+    at = X.detections(s, d).select("det_id", geo.mercator_x(F.col("longitude")).alias("x"), geo.mercator_y(F.col("latitude")).alias("y"))
+    return at.select("det_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(geo.inverse_mercator_lon(F.col("x")), 6).alias("lon"), F.round(geo.inverse_mercator_lat(F.col("y")), 6).alias("lat"))
 
 
 # --- joins
@@ -170,18 +143,30 @@ def j_centroid_in_country(s, d):
     return J.points_in_boxes(X.perimeters(s, d).select("perim_id", "cx", "cy"), z, "cx", "cy", 5.0, "left_semi").select("perim_id")
 
 
-@query("SELECT perim_id, zone_id FROM perim p JOIN zone z ON p.minx > z.minx AND p.maxx < z.maxx AND p.miny > z.miny AND p.maxy < z.maxy")
+@query("SELECT perim_id, zone_id FROM perim p JOIN zone z ON p.minx >= z.minx AND p.maxx <= z.maxx AND p.miny >= z.miny AND p.maxy <= z.maxy")
 def j_perimeter_within_zone(s, d):
     met = J.boxes_intersect(X.perimeters(s, d), X.zones(s, d), "perim_id", "zone_id", 1.0)
-    return met.filter("a_minx > b_minx and a_maxx < b_maxx and a_miny > b_miny and a_maxy < b_maxy").select("perim_id", "zone_id")
+    return met.filter("a_minx >= b_minx and a_maxx <= b_maxx and a_miny >= b_miny and a_maxy <= b_maxy").select("perim_id", "zone_id")
 
 
-@query()
+_DRAW = "(('0x' || substr(md5({} || '|{}'), 1, 8))::BIGINT % 1000000)"
+
+
+@query(f"SELECT det_id, acq_date FROM det WHERE {_DRAW.format('det_id::VARCHAR', 42)} < 100000")
 def a_bernoulli_sample(s, d):
-    """A tenth of the detections; the hash is Spark's, so there is no SQL for it."""
+    """A tenth of the detections, the same rows in every engine that has md5."""
     return X.detections(s, d).filter(scalar.sampled(F.col("det_id"), 0.1)).select("det_id", "acq_date")
 
 
+@query(f"SELECT year, count(*) AS n, count(DISTINCT r*24+c) AS cells FROM px WHERE {_DRAW.format(chr(39)+'T'+chr(39)+' || (r//8) || '+chr(39)+'_'+chr(39)+' || (c//8)', 7)} < 500000 GROUP BY year")
+def a_tile_sample(s, d):
+    """Half of the tiles; whole tiles are taken or left, so a tile that is left is never read."""
+    px = X.burned_pixels(s, d)
+    tile = F.format_string("T%d_%d", F.floor(F.col("row") / 8), F.floor(F.col("col") / 8))
+    kept = px.filter(scalar.sampled(tile, 0.5, 7))
+    return kept.groupBy("year").agg(F.count("*").alias("n"), F.countDistinct("row", "col").alias("cells"))
+
+
 # --- AT
 
 
@@ -245,14 +230,15 @@ def g_zonal_majority(s, d):
     return R.zonal_majority(px, X.land_cover(s).filter("year = 2005"), ["zone_id"])
 
 
-@query("SELECT zone_id, round(sum(CASE WHEN value = 12 THEN (20.0/24*111320.0*cos(radians(1.0-(r+0.5)*(21.0/24))))*(21.0/24*111320.0) ELSE 0 END)/1e6, 3) AS cl12_km2, round(100.0*count(*) FILTER (value = 12)/count(*), 6) AS pct FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2006 GROUP BY zone_id")
+@query("SELECT zone_id, round(sum(CASE WHEN value = 12 THEN (20.0/24*111320.0*cos(radians(1.0-(r+0.5)*(21.0/24))))*(21.0/24*111320.0) WHEN r IS NOT NULL THEN 0 END)/1e6, 3) AS cl12_km2, round(100.0*count(*) FILTER (value = 12)/nullif(count(r), 0), 6) AS pct FROM zone LEFT JOIN (SELECT * FROM cls WHERE year = 2006) k ON " + _TOUCH + " GROUP BY zone_id")
 def g_class_area_multi_tile(s, d):
+    """Null where no tile covers a zone, 0 where tiles do but have no pixel of the class."""
     px = R.pixels_of_boxes(X.zones(s, d), ["zone_id"], X.GRID, "all_touched")
     g = X.GRID
     area = geo.degree_pixel_area_m2(F.lit(g.width), F.lit(g.height), g.top(F.col("row") + 0.5))
     cover = X.land_cover(s).filter("year = 2006")
     share = px.join(cover, ["row", "col"]).groupBy("zone_id").agg(F.round(F.count_if(F.col("value") == 12) * 100.0 / F.count("*"), 6).alias("pct"))
-    return R.class_area(px, cover, ["zone_id"], 12, area).select("zone_id", F.round(F.col("area") / 1e6, 3).alias("cl12_km2")).join(share, "zone_id")
+    return R.class_area(px, cover, ["zone_id"], 12, area).select("zone_id", F.round(F.col("area") / 1e6, 3).alias("cl12_km2")).join(share, "zone_id", "left")
 
 
 @query("SELECT zone_id, round(100.0*sum(h)/nullif(sum(t),0), 6) AS pct FROM (SELECT zone_id, r // 8 AS tr, c // 8 AS tc, count(*) FILTER (value = 3) AS h, count(value) AS t FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2007 GROUP BY ALL) GROUP BY zone_id")
@@ -359,11 +345,15 @@ def g_min_pix(s, d):
     return _patches(s, d).groupBy("patch").agg(F.count("*").alias("n_pix")).filter(F.col("n_pix") >= P.MIN_PIX)
 
 
-@query(f"SELECT year, month, count(*) AS n, round(sum({_area('0.0', '1.0-(r+1)*(21.0/24)', '20.0/24', '1.0-r*(21.0/24)')})/1e4, 2) AS area_ha FROM px GROUP BY GROUPING SETS ((year, month), (year))")
+_CELL_M2 = _area("0.0", "1.0-(r+1)*(21.0/24)", "20.0/24", "1.0-r*(21.0/24)")
+
+
+@query(f"SELECT year, month, count(*) AS n, round(sum(m2)/1e4, 2) AS area_ha, round(sum(CASE WHEN value = 12 THEN m2 END)/1e4, 2) AS cl12_ha, round(sum(CASE WHEN value = 3 THEN m2 END)/1e4, 2) AS cl3_ha FROM (SELECT px.*, value, {_CELL_M2} AS m2 FROM px LEFT JOIN cls USING (year, r, c)) GROUP BY GROUPING SETS ((year, month), (year))")
 def g_year_month_grouping_sets(s, d):
-    px = X.burned_pixels(s, d).withColumn("m2", X.GRID.cell_area_m2(F.col("row")))
+    px = X.burned_pixels(s, d).withColumn("m2", X.GRID.cell_area_m2(F.col("row"))).join(X.land_cover(s), ["year", "row", "col"], "left")
     sets = px.groupingSets([["year", "month"], ["year"]], "year", "month")
-    return sets.agg(F.count("*").alias("n"), F.round(F.sum("m2") / 1e4, 2).alias("area_ha"))
+    of = lambda k: F.round(F.sum(F.when(F.col("value") == k, F.col("m2"))) / 1e4, 2).alias(f"cl{k}_ha")
+    return sets.agg(F.count("*").alias("n"), F.round(F.sum("m2") / 1e4, 2).alias("area_ha"), of(12), of(3))
 
 
 @query(
@@ -391,23 +381,40 @@ def g_mercator_bias_audit(s, d):
 
 
 _PIECE = _area("greatest(p.minx, z.minx)", "greatest(p.miny, z.miny)", "least(p.maxx, z.maxx)", "least(p.maxy, z.maxy)")
+#: By the rules of the decomposition: within first, the others cut, one name added up, slivers dropped, the rest a row where it is large enough.
 _ECO = f"""
 + ar AS MATERIALIZED (SELECT perim_id, {_area('minx', 'miny', 'maxx', 'maxy')}/1e4 AS area_ha FROM perim),
-pc AS MATERIALIZED (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, sum({_PIECE})/1e4 AS ha FROM perim p JOIN zone z ON p.minx <= z.maxx AND z.minx <= p.maxx AND p.miny <= z.maxy AND z.miny <= p.maxy GROUP BY 1, 2),
-kept AS MATERIALIZED (SELECT perim_id, eco, ha, area_ha, FALSE AS residual FROM pc JOIN ar USING (perim_id) WHERE ha >= greatest(0.5, area_ha*0.001)),
-rest AS (SELECT perim_id, 'sin_region' AS eco, area_ha - coalesce(used, 0) AS ha, area_ha, TRUE AS residual FROM ar LEFT JOIN (SELECT perim_id, sum(ha) AS used FROM kept GROUP BY perim_id) USING (perim_id)),
-pieces AS MATERIALIZED (SELECT * FROM kept UNION ALL SELECT * FROM rest WHERE abs(ha) >= 0.005),
-dom AS MATERIALIZED (SELECT perim_id, coalesce(arg_min(eco, (-round(ha, 6), eco)) FILTER (NOT residual), 'sin_region') AS eco, count(*) FILTER (NOT residual) AS n_eco, coalesce(max(ha) FILTER (NOT residual), 0) AS ha_dom, coalesce(sum(ha) FILTER (residual), 0) AS eco_resid_ha FROM pieces GROUP BY perim_id)
+holder AS MATERIALIZED (SELECT perim_id, min(zone_id) AS zone_id FROM perim p JOIN zone z ON p.minx >= z.minx AND p.maxx <= z.maxx AND p.miny >= z.miny AND p.maxy <= z.maxy GROUP BY perim_id),
+cut AS MATERIALIZED (
+  SELECT h.perim_id, h.zone_id, p.minx, p.miny, p.maxx, p.maxy, area_ha AS ha FROM holder h JOIN perim p USING (perim_id) JOIN ar USING (perim_id)
+  UNION ALL SELECT perim_id, z.zone_id, greatest(p.minx, z.minx), greatest(p.miny, z.miny), least(p.maxx, z.maxx), least(p.maxy, z.maxy), {_PIECE}/1e4
+  FROM (SELECT * FROM perim WHERE perim_id NOT IN (SELECT perim_id FROM holder)) p JOIN zone z ON p.minx <= z.maxx AND z.minx <= p.maxx AND p.miny <= z.maxy AND z.miny <= p.maxy WHERE {_PIECE} > 0),
+pc AS MATERIALIZED (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, sum(ha) AS ha, any_value(area_ha) AS area_ha FROM cut JOIN zone USING (zone_id) JOIN ar USING (perim_id) GROUP BY 1, 2),
+kept AS MATERIALIZED (SELECT perim_id, eco, ha, area_ha, FALSE AS residual FROM pc WHERE ha >= greatest(0.5, area_ha*0.001)),
+pieces AS MATERIALIZED (SELECT * FROM kept
+  UNION ALL SELECT perim_id, 'sin_region', area_ha, area_ha, TRUE FROM ar WHERE area_ha > 0 AND perim_id NOT IN (SELECT perim_id FROM pc)
+  UNION ALL SELECT perim_id, 'sin_region', area_ha - used, area_ha, TRUE FROM (SELECT perim_id, area_ha, sum(CASE WHEN ha >= greatest(0.5, area_ha*0.001) THEN ha ELSE 0 END) AS used FROM pc GROUP BY perim_id, area_ha) WHERE area_ha - used >= greatest(0.5, area_ha*0.001)),
+dom AS MATERIALIZED (SELECT perim_id, ar.area_ha, coalesce(arg_min(eco, (-round(ha, 6), eco)), 'sin_region') AS eco, count(ha) AS n_eco, coalesce(max(ha), 0) AS ha_dom, ar.area_ha - coalesce(sum(ha), 0) AS eco_resid_ha FROM ar LEFT JOIN kept USING (perim_id) GROUP BY perim_id, ar.area_ha)
 """
+_POINT_ECO = "(SELECT perim_id, coalesce(arg_min(zone_name, zone_id), 'sin_region') AS eco_pt FROM perim p LEFT JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy GROUP BY perim_id)"
 
 
 def _pieces(s: SparkSession, d: str) -> DataFrame:
     return P.decompose(X.perimeters(s, d), X.zones(s, d))
 
 
-@query(f"{_ECO} SELECT perim_id, eco, n_eco, round(ha_dom, 2) AS ha_dom, round(eco_resid_ha, 2) AS eco_resid_ha FROM dom")
+def _dominant(s: SparkSession, d: str) -> DataFrame:
+    return P.dominant(X.perimeters(s, d), _pieces(s, d))
+
+
+def _point_eco(s: SparkSession, d: str) -> DataFrame:
+    points = X.perimeters(s, d).select("perim_id", F.col("cx").alias("longitude"), F.col("cy").alias("latitude"))
+    return P.with_region(points, X.zones(s, d), "perim_id").withColumnRenamed("region", "eco_pt")
+
+
+@query(f"{_ECO} SELECT perim_id, eco, n_eco, round(ha_dom, 2) AS ha_dom, round(eco_resid_ha, 2) + 0.0 AS eco_resid_ha FROM dom")
 def r_eco_decompose(s, d):
-    return P.dominant(_pieces(s, d)).select("perim_id", "eco", "n_eco", F.round("ha_dom", 2).alias("ha_dom"), F.round("eco_resid_ha", 2).alias("eco_resid_ha"))
+    return _dominant(s, d).select("perim_id", "eco", "n_eco", F.round("ha_dom", 2).alias("ha_dom"), (F.round("eco_resid_ha", 2) + 0.0).alias("eco_resid_ha"))
 
 
 @query(f"{_ECO} SELECT perim_id, eco, residual, round(ha, 2) AS ha FROM pieces")
@@ -415,54 +422,107 @@ def r_eco_long(s, d):
     return _pieces(s, d).select("perim_id", "eco", "residual", F.round("ha", 2).alias("ha"))
 
 
-@query(f"{_ECO} SELECT n_eco, count(*) AS events, round(sum(area_ha)/100, 4) AS km2, round(100.0*count(*)/sum(count(*)) OVER (), 6) AS pct_events FROM dom JOIN ar USING (perim_id) GROUP BY n_eco")
+@query("SELECT perim_id, zone_id FROM perim p JOIN zone z ON p.minx <= z.maxx AND z.minx <= p.maxx AND p.miny <= z.maxy AND z.miny <= p.maxy WHERE perim_id NOT IN (SELECT q.perim_id FROM perim q JOIN zone y ON q.minx >= y.minx AND q.maxx <= y.maxx AND q.miny >= y.miny AND q.maxy <= y.maxy)")
+def j_intersects_not_within(s, d):
+    """Events with the zones they touch, of those events that lie within none."""
+    met = J.boxes_intersect(X.perimeters(s, d), X.zones(s, d), "perim_id", "zone_id", 1.0)
+    held = met.filter("a_minx >= b_minx and a_maxx <= b_maxx and a_miny >= b_miny and a_maxy <= b_maxy").select("perim_id")
+    return met.join(held, "perim_id", "left_anti").select("perim_id", "zone_id")
+
+
+@query(f"{_ECO} SELECT n_eco, count(*) AS events, round(sum(area_ha)/100, 4) AS km2, round(100.0*count(*)/sum(count(*)) OVER (), 6) AS pct_events, round(100.0*sum(area_ha)/sum(sum(area_ha)) OVER (), 6) AS pct_area FROM dom GROUP BY n_eco")
 def g_eco_summary(s, d):
-    pieces = _pieces(s, d)
-    of = P.dominant(pieces).join(pieces.groupBy("perim_id").agg(F.max("area_ha").alias("area_ha")), "perim_id")
-    by = of.groupBy("n_eco").agg(F.count("*").alias("events"), F.round(F.sum("area_ha") / 100, 4).alias("km2"))
-    total = by.agg(F.sum("events").alias("all"))
-    return by.join(F.broadcast(total)).select("n_eco", "events", "km2", F.round(F.col("events") * 100.0 / F.col("all"), 6).alias("pct_events"))
+    by = _dominant(s, d).groupBy("n_eco").agg(F.count("*").alias("events"), F.sum("area_ha").alias("ha"))
+    total = by.agg(F.sum("events").alias("all_events"), F.sum("ha").alias("all_ha"))  # one row
+    share = lambda part, whole: F.round(F.col(part) * 100.0 / F.col(whole), 6)
+    return by.join(F.broadcast(total)).select("n_eco", "events", F.round(F.col("ha") / 100, 4).alias("km2"), share("events", "all_events").alias("pct_events"), share("ha", "all_ha").alias("pct_area"))
 
 
-@query(f"{_ECO} SELECT point_eco, eco, n, km2 FROM (SELECT coalesce(pt, 'sin_region') AS point_eco, eco, count(*) AS n, round(sum(area_ha)/100, 4) AS km2 FROM dom JOIN ar USING (perim_id) LEFT JOIN (SELECT perim_id, arg_min(zone_name, zone_id) AS pt FROM perim p JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy GROUP BY perim_id) USING (perim_id) GROUP BY 1, 2) ORDER BY km2 DESC, point_eco, eco LIMIT 20")
+@query(f"{_ECO} SELECT eco_pt AS point_eco, eco, count(*) AS n, round(sum(area_ha)/100, 4) AS km2 FROM dom JOIN {_POINT_ECO} USING (perim_id) WHERE eco_pt <> eco GROUP BY 1, 2 ORDER BY km2 DESC, point_eco, eco LIMIT 20")
 def g_transfer_matrix_top20(s, d):
-    pieces = _pieces(s, d)
-    area = pieces.groupBy("perim_id").agg(F.max("area_ha").alias("area_ha"))
-    points = X.perimeters(s, d).select("perim_id", F.col("cx").alias("longitude"), F.col("cy").alias("latitude"))
-    rows = P.dominant(pieces).join(area, "perim_id").join(P.with_region(points, X.zones(s, d), "perim_id"), "perim_id")
-    by = rows.groupBy(F.col("region").alias("point_eco"), "eco").agg(F.count("*").alias("n"), F.round(F.sum("area_ha") / 100, 4).alias("km2"))
+    rows = _dominant(s, d).join(_point_eco(s, d), "perim_id").filter("eco_pt <> eco")
+    by = rows.groupBy(F.col("eco_pt").alias("point_eco"), "eco").agg(F.count("*").alias("n"), F.round(F.sum("area_ha") / 100, 4).alias("km2"))
     return by.orderBy(F.desc("km2"), "point_eco", "eco").limit(20)
 
 
-@query(f"{_ECO} SELECT perim_id, round(sum(ha), 2) AS total_ha, round(max(area_ha), 2) AS area_ha, abs(sum(ha)-max(area_ha)) <= greatest(1e-6, max(area_ha)*0.005) AS ok FROM pieces GROUP BY perim_id")
-def g_balance_check(s, d):
-    return P.balance(_pieces(s, d)).select("perim_id", F.round("total_ha", 2).alias("total_ha"), F.round("area_ha", 2).alias("area_ha"), "ok")
+_CUT = _area("greatest(minx, -80.0+c*(20.0/24))", "greatest(miny, 1.0-(r+1)*(21.0/24))", "least(maxx, -80.0+(c+1)*(20.0/24))", "least(maxy, 1.0-r*(21.0/24))")
 
 
-_CUT = _area("greatest(minx, -80.0+c*(20.0/24))", "greatest(miny, 1.0-(r+1)*(21.0/24))", "least(maxx, -80.0+(c+1)*(20.0/24))", "least(maxy, 1.0-r*(21.0/24))")
+_CLASS = f"""
+, sums AS MATERIALIZED (SELECT perim_id, sum(CASE WHEN value = 12 THEN m2 ELSE 0 END)/1e6 AS a, sum(CASE WHEN value = 3 THEN m2 ELSE 0 END)/1e6 AS b
+  FROM (SELECT perim_id, value, greatest({_CUT}, 0) AS m2 FROM (SELECT *, year(start_date)+8 AS year FROM perim) p JOIN cls USING (year) WHERE {_TOUCH}) GROUP BY perim_id),
+whole AS MATERIALIZED (SELECT perim_id, area_ha, round(a, 6) AS cl12_km2, round(b, 6) AS cl3_km2, round(area_ha/100 - round(a, 6) - round(b, 6), 6) + 0.0 AS cl_x_km2 FROM ar LEFT JOIN sums USING (perim_id))
+"""
+#: What no kept piece of an event covers: the cells between the borders of the event and of its pieces.
+_LONG = f"""{_ECO}{_CLASS},
+held AS MATERIALIZED (SELECT cut.* FROM cut JOIN zone USING (zone_id) JOIN kept ON kept.perim_id = cut.perim_id AND kept.eco = coalesce(zone_name, 'sin_region')),
+open AS (SELECT p.* FROM perim p JOIN pieces USING (perim_id) WHERE residual),
+xs AS (SELECT perim_id, v, lead(v) OVER (PARTITION BY perim_id ORDER BY v) AS w FROM (SELECT perim_id, minx AS v FROM open UNION SELECT perim_id, maxx FROM open UNION SELECT h.perim_id, h.minx FROM held h SEMI JOIN open USING (perim_id) UNION SELECT h.perim_id, h.maxx FROM held h SEMI JOIN open USING (perim_id))),
+yy AS (SELECT perim_id, v, lead(v) OVER (PARTITION BY perim_id ORDER BY v) AS w FROM (SELECT perim_id, miny AS v FROM open UNION SELECT perim_id, maxy FROM open UNION SELECT h.perim_id, h.miny FROM held h SEMI JOIN open USING (perim_id) UNION SELECT h.perim_id, h.maxy FROM held h SEMI JOIN open USING (perim_id))),
+bare AS (SELECT xs.perim_id, xs.v AS minx, yy.v AS miny, xs.w AS maxx, yy.w AS maxy FROM xs JOIN yy USING (perim_id) WHERE xs.w IS NOT NULL AND yy.w IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM held h WHERE h.perim_id = xs.perim_id AND h.minx <= xs.v AND h.maxx >= xs.w AND h.miny <= yy.v AND h.maxy >= yy.w)),
+part AS (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, FALSE AS residual, minx, miny, maxx, maxy FROM held JOIN (SELECT zone_id, zone_name FROM zone) USING (zone_id) UNION ALL SELECT perim_id, 'sin_region', TRUE, minx, miny, maxx, maxy FROM bare),
+psum AS MATERIALIZED (SELECT perim_id, eco, residual, sum(CASE WHEN value = 12 THEN m2 ELSE 0 END)/1e6 AS a, sum(CASE WHEN value = 3 THEN m2 ELSE 0 END)/1e6 AS b
+  FROM (SELECT perim_id, eco, residual, value, greatest({_CUT}, 0) AS m2 FROM (SELECT part.*, year(start_date)+8 AS year FROM part JOIN (SELECT perim_id, start_date FROM perim) USING (perim_id)) p JOIN cls USING (year) WHERE {_TOUCH}) GROUP BY ALL),
+layer AS MATERIALIZED (SELECT perim_id, eco, residual, eco = best AS is_dominant, round(ha, 2) AS area_ha_eco,
+  CASE WHEN cl12_km2 IS NOT NULL THEN CASE WHEN single AND eco <> 'sin_region' THEN cl12_km2 ELSE round(coalesce(psum.a, 0), 6) END END AS cl12_eco_km2,
+  CASE WHEN cl3_km2 IS NOT NULL THEN CASE WHEN single AND eco <> 'sin_region' THEN cl3_km2 ELSE round(coalesce(psum.b, 0), 6) END END AS cl3_eco_km2
+  FROM (SELECT *, count(*) OVER (PARTITION BY perim_id) = 1 AS single FROM pieces) pieces JOIN whole USING (perim_id) JOIN (SELECT perim_id, eco AS best FROM dom) USING (perim_id) LEFT JOIN psum USING (perim_id, eco, residual))
+"""
+
 
+def _dated(s: SparkSession, d: str) -> DataFrame:
+    return X.perimeters(s, d).withColumn("year", F.year("start_date") + 8)
 
-@query(f"+ m AS (SELECT perim_id, value, greatest({_CUT}, 0) AS m2 FROM (SELECT *, year(start_date)+8 AS year FROM perim) p JOIN cls USING (year) WHERE {_TOUCH}), t AS (SELECT perim_id, sum(CASE WHEN value = 12 THEN m2 ELSE 0 END)/1e6 AS a, sum(CASE WHEN value = 3 THEN m2 ELSE 0 END)/1e6 AS b FROM m GROUP BY perim_id) SELECT perim_id, round(a, 4) AS cl12_km2, round(b, 4) AS cl3_km2, round({_area('minx', 'miny', 'maxx', 'maxy')}/1e6 - a - b, 4) + 0.0 AS cl_x_km2 FROM perim LEFT JOIN t USING (perim_id)")
+
+def _layer(s: SparkSession, d: str) -> DataFrame:
+    return P.long_layer(_dated(s, d), X.zones(s, d), X.land_cover(s), X.GRID)
+
+
+@query(f"{_ECO}{_CLASS} SELECT perim_id, cl12_km2, cl3_km2, cl_x_km2 FROM whole")
 def r_class_clip(s, d):
-    e = X.perimeters(s, d).withColumn("year", F.year("start_date") + 8)
-    out = e.join(P.class_clip(e, X.land_cover(s), X.GRID, (12, 3)), "perim_id")
-    area = geo.box_area_m2(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")) / 1e6
-    rest = scalar.residual(area, F.col("cl12_km2"), F.col("cl3_km2"))
-    return out.select("perim_id", F.round("cl12_km2", 4).alias("cl12_km2"), F.round("cl3_km2", 4).alias("cl3_km2"), (F.round(rest, 4) + 0.0).alias("cl_x_km2"))
+    return P.event_classes(_dated(s, d), X.land_cover(s), X.GRID).select("perim_id", "cl12_km2", "cl3_km2", "cl_x_km2")
+
+
+@query(f"{_LONG} SELECT perim_id, eco, residual, is_dominant, area_ha_eco, cl12_eco_km2, cl3_eco_km2, round(area_ha_eco/100 - cl12_eco_km2 - cl3_eco_km2, 6) + 0.0 AS cl_x_eco_km2 FROM layer")
+def r_eco_class_long(s, d):
+    return _layer(s, d)
+
+
+@query(f"{_LONG}, chk AS (SELECT perim_id, sum(cl12_eco_km2) AS sum12, sum(cl3_eco_km2) AS sum3 FROM layer GROUP BY perim_id) SELECT perim_id, round(sum12, 6) AS sum12, cl12_km2, abs(sum12-cl12_km2) <= greatest(1e-6, 0.005*cl12_km2) AS ok12, round(sum3, 6) AS sum3, cl3_km2, abs(sum3-cl3_km2) <= greatest(1e-6, 0.005*cl3_km2) AS ok3 FROM chk JOIN whole USING (perim_id)")
+def g_balance_check(s, d):
+    found = P.balance(_layer(s, d), P.event_classes(_dated(s, d), X.land_cover(s), X.GRID))
+    return found.withColumns({c: F.round(c, 6) for c in ("sum12", "sum3")})
 
 
 # --- audits, samples and exports
 
 
-@query()
+@query("SELECT det_id, acq_date FROM det ORDER BY md5(det_id || '|54'), det_id LIMIT 1000")
 def a_fixed_sample(s, d):
-    """1000 detections by the smallest hash of id and seed: the sample size is the feature; the hash is Spark's."""
-    return X.detections(s, d).orderBy(F.xxhash64("det_id", F.lit(54)), "det_id").limit(1000).select("det_id", "acq_date")
+    """1000 detections by the smallest digest of id and seed: the sample size is the feature."""
+    return X.detections(s, d).orderBy(F.md5(F.concat(F.col("det_id").cast("string"), F.lit("|54"))), "det_id").limit(1000).select("det_id", "acq_date")
+
 
+_AUDIT = "SELECT p.perim_id, zone_name, cy, pow(6378137.0, 2)*radians(p.maxx-p.minx)*(ln(tan(pi()/4+radians(p.maxy)/2))-ln(tan(pi()/4+radians(p.miny)/2))) AS m, %s AS g, pow(1-%r*pow(sin(radians(cy)),2),2)/(pow(cos(radians(cy)),2)*(1-%r)) AS k FROM perim p JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy" % (_area("p.minx", "p.miny", "p.maxx", "p.maxy"), _E2, _E2)
 
-@query("SELECT zone_name AS region, count(*) AS n, round(sum(m)/1e4, 2) AS mercator_ha, round(sum(g)/1e4, 2) AS geodesic_ha, round(sum(m)/sum(g) - 1, 8) AS bias FROM (SELECT zone_name, pow(6378137.0, 2)*radians(p.maxx-p.minx)*(ln(tan(pi()/4+radians(p.maxy)/2))-ln(tan(pi()/4+radians(p.miny)/2))) AS m, %s AS g FROM perim p JOIN zone z ON p.cx > z.minx AND p.cx < z.maxx AND p.cy > z.miny AND p.cy < z.maxy) GROUP BY zone_name" % _area("p.minx", "p.miny", "p.maxx", "p.maxy"))
+
+@query(f"SELECT zone_name AS region, grouping(zone_name) = 1 AS total, count(*) AS n, round(avg(cy), 6) AS lat, round(avg(m/g-1)*100, 6) AS bias_pct, round(avg(k-1)*100, 6) AS predicted_pct, round(avg(m/g-k)*100, 6) AS resid_pp, round(sum(m)/1e4, 2) AS mercator_ha, round(sum(g)/1e4, 2) AS geodesic_ha, round(sum(m-g)/1e6, 4) AS diff_km2 FROM ({_AUDIT}) GROUP BY GROUPING SETS ((zone_name), ())")
 def g_area_audit(s, d):
-    return _audit(s, d).groupBy(F.col("zone_name").alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("m") / 1e4, 2).alias("mercator_ha"), F.round(F.sum("g") / 1e4, 2).alias("geodesic_ha"), F.round(F.sum("m") / F.sum("g") - 1, 8).alias("bias"))
+    """By region and over all; a nameless region isn't the total."""
+    a = _audit(s, d).withColumns({"bias": F.col("m") / F.col("g") - 1, "k": geo.mercator_area_scale(F.col("cy")) - 1})
+    by = a.groupingSets([["zone_name"], []], "zone_name").agg(
+        (F.grouping("zone_name") == 1).alias("total"),
+        F.count("*").alias("n"),
+        F.round(F.avg("cy"), 6).alias("lat"),
+        F.round(F.avg("bias") * 100, 6).alias("bias_pct"),
+        F.round(F.avg("k") * 100, 6).alias("predicted_pct"),
+        F.round(F.avg(F.col("bias") - F.col("k")) * 100, 6).alias("resid_pp"),
+        F.round(F.sum("m") / 1e4, 2).alias("mercator_ha"),
+        F.round(F.sum("g") / 1e4, 2).alias("geodesic_ha"),
+        F.round(F.sum(F.col("m") - F.col("g")) / 1e6, 4).alias("diff_km2"),
+    )
+    return by.withColumnRenamed("zone_name", "region")
 
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
@@ -480,34 +540,45 @@ def g_bias_correlation(s, d):
     return a.agg(F.round(F.corr(ratio - 1, k - 1), 6).alias("r"), F.round(F.median(F.abs(ratio / k - 1)), 6).alias("median_deviation"), F.when(F.median(F.abs(ratio - 1)) < 0.001, "geodesic").otherwise("mercator").alias("stored_as"))
 
 
-@query(f"{_ECO} SELECT year(start_date)::INT AS year, count(*) AS n, count(*) FILTER (n_eco > 1) AS several, round(100.0*count(*) FILTER (n_eco > 1)/count(*), 6) AS pct_several, round(sum(area_ha - ha_dom - eco_resid_ha), 1) AS not_dominant_ha, round(sum(eco_resid_ha), 1) AS resid_ha, count(*) FILTER (eco_resid_ha < -0.01) AS negative FROM dom JOIN ar USING (perim_id) JOIN perim USING (perim_id) GROUP BY 1")
+@query(f"{_ECO} SELECT year(start_date)::INT AS year, count(*) AS n, count(*) FILTER (n_eco > 1) AS several, round(100.0*count(*) FILTER (n_eco > 1)/count(*), 6) AS pct_several, round(100.0*coalesce(sum(area_ha) FILTER (n_eco > 1), 0)/sum(area_ha), 6) AS pct_area_several, round(coalesce(sum(area_ha - ha_dom) FILTER (n_eco > 1), 0), 1) AS not_dominant_ha, count(*) FILTER (eco <> eco_pt) AS relabelled, round(100.0*coalesce(sum(area_ha) FILTER (eco <> eco_pt), 0)/sum(area_ha), 6) AS pct_area_relabelled, round(sum(eco_resid_ha), 1) AS resid_ha, count(*) FILTER (eco_resid_ha < -0.01) AS negative FROM dom JOIN {_POINT_ECO} USING (perim_id) JOIN (SELECT perim_id, start_date FROM perim) USING (perim_id) GROUP BY 1")
 def g_yearly_report(s, d):
-    pieces = _pieces(s, d)
-    area = pieces.groupBy("perim_id").agg(F.max("area_ha").alias("area_ha"))
-    rows = P.dominant(pieces).join(area, "perim_id").join(X.perimeters(s, d).select("perim_id", "start_date"), "perim_id")
-    several = F.count_if(F.col("n_eco") > 1)
+    rows = _dominant(s, d).join(_point_eco(s, d), "perim_id").join(X.perimeters(s, d).select("perim_id", "start_date"), "perim_id")
+    several, other = F.col("n_eco") > 1, F.col("eco") != F.col("eco_pt")
+    area = lambda cond, v="area_ha": F.sum(F.when(cond, F.col(v)).otherwise(0.0))
+    rows = rows.withColumn("not_dominant", F.col("area_ha") - F.col("ha_dom"))
     return rows.groupBy(F.year("start_date").alias("year")).agg(
         F.count("*").alias("n"),
-        several.alias("several"),
-        F.round(several * 100.0 / F.count("*"), 6).alias("pct_several"),
-        F.round(F.sum(F.col("area_ha") - F.col("ha_dom") - F.col("eco_resid_ha")), 1).alias("not_dominant_ha"),
+        F.count_if(several).alias("several"),
+        F.round(F.count_if(several) * 100.0 / F.count("*"), 6).alias("pct_several"),
+        F.round(area(several) * 100.0 / F.sum("area_ha"), 6).alias("pct_area_several"),
+        F.round(area(several, "not_dominant"), 1).alias("not_dominant_ha"),
+        F.count_if(other).alias("relabelled"),
+        F.round(area(other) * 100.0 / F.sum("area_ha"), 6).alias("pct_area_relabelled"),
         F.round(F.sum("eco_resid_ha"), 1).alias("resid_ha"),
         F.count_if(F.col("eco_resid_ha") < -0.01).alias("negative"),
     )
 
 
-@query(f"{_ECO} SELECT eco, round(sum(ha)/100, 4) AS km2, round(100.0*sum(ha)/sum(sum(ha)) OVER (), 6) AS pct FROM pieces GROUP BY eco")
+@query(f"{_LONG} SELECT eco, count(*) AS n, round(sum(area_ha_eco)/100, 4) AS km2, round(100.0*sum(area_ha_eco)/sum(sum(area_ha_eco)) OVER (), 6) AS pct, round(sum(cl12_eco_km2), 4) AS cl12_km2, round(sum(cl3_eco_km2), 4) AS cl3_km2 FROM layer GROUP BY eco")
 def g_area_per_eco(s, d):
-    by = _pieces(s, d).groupBy("eco").agg(F.sum("ha").alias("ha"))
-    total = by.agg(F.sum("ha").alias("all"))
-    return by.join(F.broadcast(total)).select("eco", F.round(F.col("ha") / 100, 4).alias("km2"), F.round(F.col("ha") * 100.0 / F.col("all"), 6).alias("pct"))
-
-
-@query("SELECT zone_id, value AS smallest, listed FROM (SELECT zone_id, value, row_number() OVER (PARTITION BY zone_id ORDER BY count(*) DESC, value) AS k FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2004 AND value IS NOT NULL GROUP BY zone_id, value) JOIN (SELECT zone_id, value AS listed, row_number() OVER (PARTITION BY zone_id ORDER BY count(*) DESC, CASE value WHEN 12 THEN 1 ELSE 2 END) AS k2 FROM zone JOIN cls ON " + _TOUCH + " WHERE year = 2004 AND value IN (12, 3) GROUP BY zone_id, value) USING (zone_id) WHERE k = 1 AND k2 = 1")
+    by = _layer(s, d).groupBy("eco").agg(F.count("*").alias("n"), F.sum("area_ha_eco").alias("ha"), F.sum("cl12_eco_km2").alias("c12"), F.sum("cl3_eco_km2").alias("c3"))
+    total = by.agg(F.sum("ha").alias("all"))  # one row
+    out = by.join(F.broadcast(total))
+    return out.select("eco", "n", F.round(F.col("ha") / 100, 4).alias("km2"), F.round(F.col("ha") * 100.0 / F.col("all"), 6).alias("pct"), F.round("c12", 4).alias("cl12_km2"), F.round("c3", 4).alias("cl3_km2"))
+
+
+@query(f"""
++ v AS (SELECT zone_id, value, r*24+c AS seq FROM zone JOIN cls ON {_TOUCH} WHERE year = 2004 AND value IS NOT NULL),
+n AS (SELECT zone_id, value, count(*) AS n, min(seq) AS seen FROM v GROUP BY ALL),
+a AS (SELECT zone_id, arg_min(value, (-n, value)) AS smallest, arg_min(value, (-n, seen)) AS first FROM n GROUP BY zone_id),
+b AS (SELECT zone_id, arg_min(value, (-n, CASE value WHEN 12 THEN 1 ELSE 2 END)) AS listed FROM n WHERE value IN (12, 3) GROUP BY zone_id)
+SELECT zone_id, smallest, first, coalesce(listed, 0) AS listed FROM a LEFT JOIN b USING (zone_id)
+""")
 def g_mode_rules(s, d):
-    px = R.pixels_of_boxes(X.zones(s, d), ["zone_id"], X.GRID, "all_touched").join(X.land_cover(s).filter("year = 2004"), ["row", "col"])
+    px = R.pixels_of_boxes(X.zones(s, d), ["zone_id"], X.GRID, "all_touched").join(X.land_cover(s).filter("year = 2004 and value is not null"), ["row", "col"]).withColumn("seq", F.col("row") * 24 + F.col("col"))
     a = R.mode_by_rule(px, ["zone_id"], "value").withColumnRenamed("mode", "smallest")
-    return a.join(R.mode_by_rule(px, ["zone_id"], "value", "listed", [12, 3]).withColumnRenamed("mode", "listed"), "zone_id")
+    b = R.mode_by_rule(px, ["zone_id"], "value", "first", seq="seq").withColumnRenamed("mode", "first")
+    return a.join(b, "zone_id").join(R.mode_by_rule(px, ["zone_id"], "value", "listed", [12, 3]).withColumnRenamed("mode", "listed"), "zone_id")
 
 
 @query("SELECT tr::INT AS tr, tc::INT AS tc, count(*) FILTER (elev > 2000) AS high, count(*) FILTER (elev > 2000) = 0 AS is_empty, max(CASE WHEN elev > 2000 THEN elev ELSE -9999.0 END) AS top FROM (SELECT r // 6 AS tr, c // 6 AS tc, elev FROM dem) GROUP BY ALL")
@@ -539,17 +610,6 @@ def g_distinct_days(s, d):
     return px.groupBy("year").agg(F.countDistinct("doy").alias("days"), F.countDistinct("row", "col").alias("cells"), F.min("doy").alias("first_doy"), F.max("doy").alias("last_doy"))
 
 
-@query(f"{_ECO}, pz AS (SELECT perim_id, coalesce(zone_name, 'sin_region') AS eco, greatest(p.minx, z.minx) AS minx, greatest(p.miny, z.miny) AS miny, least(p.maxx, z.maxx) AS maxx, least(p.maxy, z.maxy) AS maxy, year(start_date)+8 AS year FROM perim p JOIN zone z ON p.minx <= z.maxx AND z.minx <= p.maxx AND p.miny <= z.maxy AND z.miny <= p.maxy), m AS (SELECT perim_id, eco, value, greatest({_CUT}, 0) AS m2 FROM pz JOIN cls USING (year) WHERE {_TOUCH}), t AS (SELECT perim_id, eco, sum(CASE WHEN value = 12 THEN m2 ELSE 0 END)/1e6 AS a FROM m GROUP BY ALL) SELECT perim_id, eco, round(a, 4) AS cl12_eco_km2 FROM kept LEFT JOIN t USING (perim_id, eco)")
-def r_eco_class_long(s, d):
-    """Class area of each piece: the event is cut to the ecoregion first, then to the pixels."""
-    e = X.perimeters(s, d).withColumn("year", F.year("start_date") + 8)
-    z = X.zones(s, d).withColumn("eco", F.coalesce("zone_name", F.lit(scalar.NO_REGION)))
-    met = J.boxes_intersect(e, z, "perim_id", "zone_id", 1.0).join(F.broadcast(z.select("zone_id", "eco")), "zone_id").join(e.select("perim_id", "year"), "perim_id")
-    cut = met.select(F.struct("perim_id", "eco", "zone_id").alias("piece"), "year", F.greatest("a_minx", "b_minx").alias("minx"), F.greatest("a_miny", "b_miny").alias("miny"), F.least("a_maxx", "b_maxx").alias("maxx"), F.least("a_maxy", "b_maxy").alias("maxy"))
-    by = P.class_clip(cut, X.land_cover(s), X.GRID, (12,), "piece").groupBy("piece.perim_id", "piece.eco").agg(F.sum("cl12_km2").alias("km2"))
-    return P.decompose(e, X.zones(s, d)).filter("not residual").select("perim_id", "eco").join(by, ["perim_id", "eco"], "left").select("perim_id", "eco", F.round("km2", 4).alias("cl12_eco_km2"))
-
-
 @query()
 def r_vectorise_patches(s, d):
     """Rings around every patch of at least MIN_PIX cells; no SQL for it, tests hold the areas against the cells."""

@@ -84,13 +84,47 @@ def test_modes(spark):
     assert mode() == {1: 3, 2: 9} and mode(rule="listed", codes=[12, 3]) == {1: 12, 2: 0} and mode(rule="first", seq="s") == {1: 3, 2: 9}
 
 
+ZONE = "zone_id int, zone_name string, minx double, miny double, maxx double, maxy double"
+BOXES = "perim_id int, minx double, miny double, maxx double, maxy double"
+
+
 def test_decomposition_cases(spark):
-    z = spark.createDataFrame([(1, "A", 0.0, 0.0, 1.0, 1.0), (2, None, 2.0, 0.0, 3.0, 1.0)], "zone_id int, zone_name string, minx double, miny double, maxx double, maxy double")
-    e = spark.createDataFrame([(1, 0.1, 0.1, 0.2, 0.2), (2, 0.9, 0.1, 1.1, 0.2), (3, 1.0, 0.2, 1.1, 0.3), (4, 0.5, 0.5, 0.5005, 0.5005), (5, 2.1, 0.1, 2.2, 0.2)], "perim_id int, minx double, miny double, maxx double, maxy double")
+    z = spark.createDataFrame([(1, "A", 0.0, 0.0, 1.0, 1.0), (2, None, 2.0, 0.0, 3.0, 1.0), (3, "B", 0.0, 0.0, 0.6, 1.0)], ZONE)
+    e = spark.createDataFrame(
+        [(1, 0.1, 0.1, 0.2, 0.2), (2, 0.9, 0.1, 1.1, 0.2), (3, 1.0, 0.2, 1.1, 0.3), (4, 0.5, 0.5, 0.5005, 0.5005), (5, 2.1, 0.1, 2.2, 0.2), (6, -0.1, 0.1, 0.1, 0.2), (7, 5.0, 5.0, 5.0005, 5.0005)], BOXES
+    )
     pieces = P.decompose(e, z)
-    got = {r.perim_id: (r.eco, r.n_eco, r.eco_resid_ha > 0) for r in P.dominant(pieces).collect()}
-    assert got == {1: ("A", 1, False), 2: ("A", 1, True), 3: ("sin_region", 0, True), 4: ("sin_region", 0, True), 5: ("sin_region", 1, False)}
-    assert all(r.ok for r in P.balance(pieces).collect())
+    rows = sorted((r.perim_id, r.eco, r.residual) for r in pieces.collect())
+    # 1 lies in A and B: the first has all of it; 3 only touches A; 4 is too small for a row; 5 lies in a nameless zone; 7 is alone, however small
+    assert rows == [(1, "A", False), (2, "A", False), (2, "sin_region", True), (3, "sin_region", True), (5, "sin_region", False), (6, "A", False), (6, "B", False), (7, "sin_region", True)]
+    assert pieces.filter("ha <= 0").count() == 0
+    got = {r.perim_id: (r.eco, r.n_eco, round(r.eco_resid_ha / r.area_ha, 3)) for r in P.dominant(e, pieces).collect()}
+    assert got == {1: ("A", 1, 0), 2: ("A", 1, 0.5), 3: ("sin_region", 0, 1), 4: ("sin_region", 0, 1), 5: ("sin_region", 1, 0), 6: ("A", 2, 0), 7: ("sin_region", 0, 1)}
+
+
+def test_long_layer_and_its_balance(spark):
+    grid = R.Grid(0.0, 1.0, 0.1, 0.1, 10, 20)
+    z = spark.createDataFrame([(1, "A", 0.0, 0.0, 1.0, 1.0), (2, "B", 0.9, 0.0, 1.0, 1.0)], ZONE)
+    e = spark.createDataFrame([(1, 0.82, 0.1, 1.2, 0.3, 2005), (2, 0.15, 0.15, 0.25, 0.25, 2005), (3, 0.2, 0.2, 0.3, 0.3, 1999)], BOXES + ", year int")
+    cover = spark.range(200).selectExpr("2005 AS year", "CAST(id DIV 20 AS INT) AS row", "CAST(id % 20 AS INT) AS col", "CASE WHEN id % 2 = 0 THEN 12 ELSE 3 END AS value")
+    layer, whole = P.long_layer(e, z, cover, grid), P.event_classes(e, cover, grid)
+    rows = {(r.perim_id, r.eco): r for r in layer.collect()}
+    # A and B overlap in 0.9 to 1.0: the pieces count it twice, what they leave is 1.0 to 1.2
+    assert set(rows) == {(1, "A"), (1, "B"), (1, "sin_region"), (2, "A"), (3, "A")}
+    of = {r.perim_id: r for r in whole.collect()}
+    assert rows[2, "A"].cl12_eco_km2 == of[2].cl12_km2 and rows[2, "A"].is_dominant and rows[3, "A"].cl12_eco_km2 is None
+    left = geo.box_area_m2(F.lit(1.1), F.lit(0.1), F.lit(1.2), F.lit(0.3))
+    assert rows[1, "sin_region"].cl3_eco_km2 == pytest.approx(one(spark, left) / 1e6, rel=1e-5)
+    assert rows[1, "A"].cl_x_eco_km2 == pytest.approx(0, abs=1e-3)
+    ok = {r.perim_id: (r.ok12, r.ok3) for r in P.balance(layer, whole).collect()}
+    assert ok == {1: (True, False), 2: (True, True), 3: (None, None)}
+
+
+def test_uncovered_boxes_add_up(spark):
+    e = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (2, 0.0, 0.0, 1.0, 1.0)], BOXES)
+    held = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 3.0), (1, 1.5, 2.0, 4.0, 3.0), (1, 0.0, 0.0, 4.0, 0.5)], BOXES)
+    got = {r.perim_id: r.a for r in P.uncovered(e, held).groupBy("perim_id").agg(F.sum(F.expr("(maxx-minx)*(maxy-miny)")).alias("a")).collect()}
+    assert got == {1: pytest.approx(16 - 2 - 2.5 + 0.5 - 2), 2: pytest.approx(1)}
 
 
 def test_class_area_coverage(spark):
