@@ -82,6 +82,19 @@ def square_buffer(lon: Column, lat: Column, side_m: float = 1000.0) -> dict[str,
     return {"minx": inverse_mercator_lon(x - h), "miny": inverse_mercator_lat(y - h), "maxx": inverse_mercator_lon(x + h), "maxy": inverse_mercator_lat(y + h)}
 
 
+def degree_buffer(lon: Column, lat: Column, half: float = 0.5) -> dict[str, Column]:
+    """Bounds of the square of degrees around a point."""
+    return {"minx": lon - half, "miny": lat - half, "maxx": lon + half, "maxy": lat + half}
+
+
+def mercator_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column, points: int = 21) -> dict[str, Column]:
+    """Mercator bounds of a box of degrees, from `points` points of each side."""
+    steps = [k / (points - 1) for k in range(points)]
+    xs = [mercator_x(minx + (maxx - minx) * t) for t in steps]
+    ys = [mercator_y(miny + (maxy - miny) * t) for t in steps]
+    return {"minx": F.least(*xs), "miny": F.least(*ys), "maxx": F.greatest(*xs), "maxy": F.greatest(*ys)}
+
+
 def in_disc(lon: Column, lat: Column, px: Column, py: Column, radius_m: float = 500.0) -> Column:
     """Whether a point lies in the Mercator disc around another."""
     return F.hypot(mercator_x(px) - mercator_x(lon), mercator_y(py) - mercator_y(lat)) <= radius_m

@@ -70,3 +70,49 @@ def year_in(text: Column) -> Column:
     """The first year between FIRST_YEAR and LAST_YEAR in a name, else null."""
     years = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
     return F.get(F.filter(years, lambda y: y.between(FIRST_YEAR, LAST_YEAR)), F.lit(0))
+
+
+def partition_year(name: Column) -> Column:
+    """Year of a perimeter file: the digits after `perimeters`, else the last group of four digits from 1900 to 2100, else null."""
+    anchored = F.regexp_extract(name, r"(?i)perimeters[_-](\d{4})", 1)
+    groups = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int")), lambda y: y.between(1900, 2100))
+    return F.when(anchored != "", anchored.cast("int")).otherwise(F.try_element_at(groups, F.lit(-1)))
+
+
+def tile_number(name: Column) -> Column:
+    """The index in names that hold _T<digits>, else null."""
+    got = F.regexp_extract(name, r"_T(\d+)", 1)
+    return F.when(got != "", got.cast("int"))
+
+
+def run_tag(share: float | None) -> str:
+    """Suffix of a run's files: `vf` for a whole run, `test_eNNpct` for a sample."""
+    return "vf" if share is None or share >= 1 else f"test_e{int(share * 100):02d}pct"
+
+
+def geometry_type(parts: Column) -> Column:
+    """Polygon, MultiPolygon, or null for no parts."""
+    n = F.coalesce(F.size(parts), F.lit(0))
+    return F.when(n == 1, "Polygon").when(n > 1, "MultiPolygon")
+
+
+def fraction(part_km2: Column, area_ha: Column) -> Column:
+    """Share of an event that a class covers; null without cover or without area."""
+    return part_km2 / F.when(area_ha > 0, area_ha / 100)
+
+
+def share_to_area(percent: Column, area: Column) -> Column:
+    """The area that a percentage is of."""
+    return percent / 100 * area
+
+
+def has_area(area: Column) -> Column:
+    """Rows whose area isn't known or isn't 0."""
+    return area.isNull() | (area != 0)
+
+
+def tile_of(lon: Column, lat: Column, size: float = 1.0, strict: bool = False) -> Column:
+    """(x, y) of the tile that holds a point; strict: none for a point on a tile's border."""
+    at = F.struct(F.floor(lon / size).cast("int").alias("x"), F.floor(lat / size).cast("int").alias("y"))
+    on_border = (F.floor(lon / size) * size == lon) | (F.floor(lat / size) * size == lat)
+    return F.when(~on_border, at) if strict else at

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.geo import AUTHALIC_R2, E1, E2, Q_POLE
 from emberline.operators.raster import Grid
-from emberline.operators.spatial_join import boxes_intersect
+from emberline.operators.spatial_join import boxes_intersect, edges_of, nearest_box, points_in_polygons
 
 Ring = np.ndarray
 Part = tuple[Ring, list[Ring]]
@@ -78,17 +78,42 @@ def geodesic_area(parts: list[Part]) -> float:
     return sum(one(s) - sum(one(h) for h in holes) for s, holes in parts)
 
 
+def edges(parts: list[Part]) -> np.ndarray:
+    """(n, 4) array of x1, y1, x2, y2 of all rings."""
+    rings = [r for s, holes in parts for r in (s, *holes)]
+    return np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings]) if rings else np.zeros((0, 4))
+
+
 def inside(parts: list[Part], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd test of points; those on an edge may go either way."""
     odd = np.zeros(len(x), bool)
-    for shell, holes in parts:
-        for r in (shell, *holes):
-            for (x1, y1), (x2, y2) in zip(r[:-1], r[1:], strict=True):
-                if y1 != y2:
-                    odd ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    e = edges(parts)
+    e = e[e[:, 1] != e[:, 3]]
+    for i in range(0, len(x), max(1, 2_000_000 // max(1, len(e)))):  # a block of points against all edges
+        k = slice(i, i + max(1, 2_000_000 // max(1, len(e))))
+        px, py = x[k, None], y[k, None]
+        cut = ((e[:, 1] > py) != (e[:, 3] > py)) & (px < (e[:, 2] - e[:, 0]) * (py - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+        odd[k] = cut.sum(axis=1) % 2 == 1
     return odd
 
 
+def relate(a: list[Part], b: list[Part]) -> tuple[bool, bool]:
+    """(a and b share an area, a lies within b); contact without area counts as neither."""
+    if not a or not b:
+        return False, False
+    ea, eb = edges(a), edges(b)
+    side = lambda p, q: (p[:, None, 2] - p[:, None, 0]) * (q[None, :, 1] - p[:, None, 1]) - (p[:, None, 3] - p[:, None, 1]) * (q[None, :, 0] - p[:, None, 0])
+    ends = lambda p, q: side(p, q) * side(p, q[:, [2, 3, 0, 1]]) < 0
+    cross = bool((ends(ea, eb) & ends(eb, ea).T).any())
+    in_b, in_a = inside(b, ea[:, 0], ea[:, 1]), inside(a, eb[:, 0], eb[:, 1])
+    return cross or bool(in_b.any()) or bool(in_a.any()), not cross and bool(in_b.all()) and not bool(in_a.any())
+
+
+def plane_area(parts: list[Part]) -> float:
+    """Plane area, holes taken off."""
+    return sum(abs(shoelace(s)) - sum(abs(shoelace(h)) for h in holes) for s, holes in parts)
+
+
 def clip_half_plane(ring: Ring, a: float, b: float, c: float) -> Ring | None:
     """The part of a ring where a*x + b*y <= c."""
     d = a * ring[:, 0] + b * ring[:, 1] - c
@@ -125,12 +150,12 @@ def clip_box(parts: list[Part], minx: float, miny: float, maxx: float, maxy: flo
 
 def trapezoids(parts: list[Part], levels: np.ndarray) -> list[list[tuple[float, float, float, float]]]:
     """For each strip between consecutive levels: its intervals (left, right at the lower level, left, right at the upper)."""
-    edges = np.concatenate([np.hstack([r[:-1], r[1:]]) for s, holes in parts for r in (s, *holes)])
-    edges = edges[edges[:, 1] != edges[:, 3]]
+    sloped = edges(parts)
+    sloped = sloped[sloped[:, 1] != sloped[:, 3]]
+    low, high = np.minimum(sloped[:, 1], sloped[:, 3]), np.maximum(sloped[:, 1], sloped[:, 3])
     out = []
     for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-        low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-        e = edges[(low <= lo) & (high >= hi)]
+        e = sloped[(low <= lo) & (high >= hi)]
         at = lambda y: e[:, 0] + (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1])  # noqa: E731, B023
         x1, x2 = at(lo), at(hi)
         order = np.argsort((x1 + x2) / 2, kind="stable")
@@ -141,7 +166,7 @@ def trapezoids(parts: list[Part], levels: np.ndarray) -> list[list[tuple[float,
 
 def _crossings(a: list[Part], b: list[Part]) -> np.ndarray:
     """Heights at which edges of a and b cross."""
-    ea, eb = (np.concatenate([np.hstack([r[:-1], r[1:]]) for s, holes in p for r in (s, *holes)]) for p in (a, b))
+    ea, eb = edges(a), edges(b)
     d1, d2 = ea[:, 2:] - ea[:, :2], eb[:, 2:] - eb[:, :2]
     den = d1[:, None, 0] * d2[None, :, 1] - d1[:, None, 1] * d2[None, :, 0]
     diff = eb[None, :, :2] - ea[:, None, :2]
@@ -273,8 +298,28 @@ def rasterise(polygons: DataFrame, key: str, grid: Grid, rule: str = "all_touche
     return polygons.select(key, parts).mapInPandas(run, f"`{key}` {kind}, row int, col int")
 
 
+def centroid(parts: list[Part]) -> tuple[float, float] | None:
+    """Area-weighted plane centroid, holes taken off."""
+    total, sx, sy = 0.0, 0.0, 0.0
+    for shell, holes in parts:
+        for i, r in enumerate((shell, *holes)):
+            x0, y0 = r[0]
+            x, y = r[:, 0] - x0, r[:, 1] - y0  # near the origin, for precision
+            w = x[:-1] * y[1:] - x[1:] * y[:-1]
+            sign = np.sign(w.sum()) * (1 if i == 0 else -1)
+            a = sign * w.sum() / 2
+            total += a
+            sx += sign * float(((x[:-1] + x[1:]) * w).sum()) / 6 + a * x0
+            sy += sign * float(((y[:-1] + y[1:]) * w).sum()) / 6 + a * y0
+    return (sx / total, sy / total) if total > 0 else None
+
+
 def measures(polygons: DataFrame, key: str, parts: str = "parts") -> DataFrame:
-    """(key, area_m2, px, py, valid): ellipsoidal area, representative point, and whether no ring crosses itself."""
+    """(key, area_m2, px, py, cx, cy, valid): ellipsoidal area, representative point, centroid, and whether no ring crosses itself.
+
+    Not valid are also polygons of which nothing is left once repeated points
+    and rings without area are dropped; with quarantine() they go apart.
+    """
     kind = polygons.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,10 +328,11 @@ def measures(polygons: DataFrame, key: str, parts: str = "parts") -> DataFrame:
             for k, value in zip(pdf[key], pdf[parts], strict=True):
                 p = to_parts(value)
                 x, y = representative_point(p) or (None, None)
-                out.append((k, geodesic_area(p), x, y, bool(p) and not any(crosses_itself(r) for s, h in p for r in (s, *h))))
-            yield pd.DataFrame(out, columns=[key, "area_m2", "px", "py", "valid"])
+                cx, cy = centroid(p) or (None, None)
+                out.append((k, geodesic_area(p), x, y, cx, cy, bool(p) and not any(crosses_itself(r) for s, h in p for r in (s, *h))))
+            yield pd.DataFrame(out, columns=[key, "area_m2", "px", "py", "cx", "cy", "valid"])
 
-    return polygons.select(key, parts).mapInPandas(run, f"`{key}` {kind}, area_m2 double, px double, py double, valid boolean")
+    return polygons.select(key, parts).mapInPandas(run, f"`{key}` {kind}, area_m2 double, px double, py double, cx double, cy double, valid boolean")
 
 
 def bounds(polygons: DataFrame, parts: str = "parts") -> DataFrame:
@@ -295,16 +341,100 @@ def bounds(polygons: DataFrame, parts: str = "parts") -> DataFrame:
     return polygons.withColumns({"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)})
 
 
-def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 1.0) -> DataFrame:
-    """(left key, right key, area_m2): ellipsoidal area of every non-empty intersection; contact without area is left out."""
+def _pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> tuple[DataFrame, str]:
+    """Polygons whose bounds meet, with the parts of both, and the schema of the keys."""
     a, b = bounds(left.select(left_key, "parts")), bounds(right.select(right_key, "parts"))
     near = boxes_intersect(a, b, left_key, right_key, cell).select(left_key, right_key)
     both = near.join(left.select(left_key, F.col("parts").alias("p1")), left_key).join(right.select(right_key, F.col("parts").alias("p2")), right_key)
-    kinds = f"`{left_key}` {left.schema[left_key].dataType.simpleString()}, `{right_key}` {right.schema[right_key].dataType.simpleString()}, area_m2 double"
+    return both, ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k, df in ((left_key, left), (right_key, right)))
+
+
+def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 1.0) -> DataFrame:
+    """(left key, right key, area_m2, plane, rest, both) of every pair that shares an area.
+
+    area_m2 is the ellipsoidal and plane the plane area of the intersection,
+    rest the plane area of left without right, both that of their union.
+    """
+    found, keys = _pairs(left, right, left_key, right_key, cell)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            area = [geodesic_area(intersection(to_parts(x), to_parts(y))) for x, y in zip(pdf["p1"], pdf["p2"], strict=True)]
-            yield pdf[[left_key, right_key]].assign(area_m2=area)
+            out = []
+            for x, y in zip(pdf["p1"], pdf["p2"], strict=True):
+                p, q = to_parts(x), to_parts(y)
+                met = intersection(p, q)
+                plane, of_p, of_q = plane_area(met), plane_area(p), plane_area(q)
+                out.append((geodesic_area(met), plane, of_p - plane, of_p + of_q - plane))
+            yield pdf[[left_key, right_key]].assign(**{n: [r[i] for r in out] for i, n in enumerate(("area_m2", "plane", "rest", "both"))})
+
+    return found.mapInPandas(run, f"{keys}, area_m2 double, plane double, rest double, both double").filter("plane > 0")
+
+
+def relations(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 1.0) -> DataFrame:
+    """(left key, right key, within) of every pair that shares an area."""
+    found, keys = _pairs(left, right, left_key, right_key, cell)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [relate(to_parts(x), to_parts(y)) for x, y in zip(pdf["p1"], pdf["p2"], strict=True)]
+            yield pdf[[left_key, right_key]].assign(meets=[m for m, _ in got], within=[w for _, w in got])
+
+    return found.mapInPandas(run, f"{keys}, meets boolean, within boolean").filter("meets").drop("meets")
 
-    return both.mapInPandas(run, kinds).filter("area_m2 > 0")
+
+def cut_to_cells(polygons: DataFrame, key: str, grid: Grid, parts: str = "parts") -> DataFrame:
+    """(key, row, col, area_m2, plane): what of each polygon lies in each cell."""
+    kind = polygons.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, value in zip(pdf[key], pdf[parts], strict=True):
+                p = to_parts(value)
+                for r, c in touched_cells(p, grid).tolist():
+                    x, y = grid.west + c * grid.width, grid.north - r * grid.height
+                    piece = clip_box(p, x, y - grid.height, x + grid.width, y)
+                    out.append((k, r, c, geodesic_area(piece), plane_area(piece)))
+            yield pd.DataFrame(out, columns=[key, "row", "col", "area_m2", "plane"]).astype({"row": "int32", "col": "int32"})
+
+    return polygons.select(key, parts).mapInPandas(run, f"`{key}` {kind}, row int, col int, area_m2 double, plane double").filter("plane > 0")
+
+
+def class_cut(polygons: DataFrame, key: str, cover: DataFrame, grid: Grid, classes: tuple[int, ...]) -> DataFrame:
+    """(key, cl<k>_km2, cl<k>_plane): area of the classes in each polygon; null where no cell is covered, 0 where none has the class.
+
+    polygons hold key, year, parts; cover holds year, row, col, value.
+    """
+    met = cut_to_cells(polygons, key, grid).join(polygons.select(key, "year"), key).join(cover, ["year", "row", "col"])
+    of = lambda k, v: F.sum(F.when(F.col("value") == k, F.col(v)).otherwise(0.0))
+    sums = met.groupBy(key).agg(*[x for k in classes for x in ((of(k, "area_m2") / 1e6).alias(f"cl{k}_km2"), of(k, "plane").alias(f"cl{k}_plane"))])
+    return polygons.select(key).join(sums, key, "left")
+
+
+def dissolve(polygons: DataFrame, by: str, parts: str = "parts") -> DataFrame:
+    """(by, parts): the parts of all polygons of a name together, which may overlap; a layer's names are few."""
+    return polygons.filter(F.col(parts).isNotNull()).groupBy(by).agg(F.flatten(F.collect_list(parts)).alias("parts"))
+
+
+def country_cascade(polygons: DataFrame, countries: DataFrame, key: str, code: str, cell: float = 1.0) -> DataFrame:
+    """(key, code, name, attempt): by intersection, else by the centroid within, else the nearest country.
+
+    countries: country_id (the table's order), code, name, parts.  Of several
+    that a polygon shares an area with, one whose code equals the polygon's own
+    (column `code`) comes first, then the table's order; code and name are each
+    the first that isn't null, so they may come from two rows.  Polygons left
+    without a name go to the next attempt, which knows named countries only; the
+    last has no largest distance.
+    """
+    met = relations(polygons, countries, key, "country_id", cell).join(countries.select("country_id", "code", "name"), "country_id").join(polygons.select(key, F.col(code).alias("own")), key)
+    order = F.struct((~F.coalesce(F.col("code") == F.col("own"), F.lit(False))).alias("other"), "country_id")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    one = met.groupBy(key).agg(first("code"), first("name")).filter("name is not null").withColumn("attempt", F.lit(1))
+    rest = measures(polygons.join(one, key, "left_anti"), key).filter("cx is not null").select(key, "cx", "cy")
+    inside_ = points_in_polygons(rest, key, edges_of(countries, "country_id"), "country_id", "cx", "cy", cell)
+    two = inside_.join(countries.select("country_id", "code", "name").filter("name is not null"), "country_id").groupBy(key).agg(F.min_by(F.struct("code", "name"), "country_id").alias("c"))
+    two = two.select(key, "c.code", "c.name", F.lit(2).alias("attempt"))
+    rest = rest.join(two, key, "left_anti")
+    box = bounds(countries.select("country_id", "code", "name", "parts")).filter("name is not null")
+    near = nearest_box(rest, box, [key], F.struct("code", "name"), F.col("country_id"), "cx", "cy")
+    return one.unionByName(two).unionByName(near.select(key, "value.code", "value.name", F.lit(3).alias("attempt")))

@@ -7,9 +7,8 @@ Row 0 is the northernmost.  NULL is "no data"; NaN never enters.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import box_area_m2
@@ -164,11 +163,29 @@ def touches_border(events: DataFrame, key: list[str], rows: int, cols: int) -> D
     return events.groupBy(*key).agg(edge.alias("touches_border"))
 
 
-def one_per_group(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def read_window(raster: DataFrame, grid: Grid, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+    """The cells of a raster that a box touches: plain ranges of row and col, which reach the scan."""
+    import math
 
+    c0, c1 = math.floor((minx - grid.west) / grid.width), math.floor((maxx - grid.west) / grid.width)
+    r0, r1 = math.floor((grid.north - maxy) / grid.height), math.floor((grid.north - miny) / grid.height)
+    return raster.filter(F.col("row").between(max(0, r0), min(grid.rows - 1, r1)) & F.col("col").between(max(0, c0), min(grid.cols - 1, c1)))
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+def crop(raster: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The cells of a raster that lie in a pixel set."""
+    return raster.join(pixels.select("row", "col"), ["row", "col"], "left_semi")
+
+
+def tile_meta(raster: DataFrame, grid: Grid, tile: int, bands: list[str], nodata: Column) -> DataFrame:
+    """(tr, tc, minx, miny, maxx, maxy, width, height, bands, cells, nodata): what is known of each tile without its pixels."""
+    at = raster.withColumns({"tr": F.floor(F.col("row") / tile).cast("int"), "tc": F.floor(F.col("col") / tile).cast("int")})
+    got = at.groupBy("tr", "tc").agg(F.countDistinct(*bands).alias("bands"), F.count("*").alias("cells"), F.count_if(nodata).alias("nodata"))
+    r1, c1 = F.least((F.col("tr") + 1) * tile, F.lit(grid.rows)), F.least((F.col("tc") + 1) * tile, F.lit(grid.cols))
+    edge = {"minx": grid.left(F.col("tc") * tile), "miny": grid.top(r1), "maxx": grid.left(c1), "maxy": grid.top(F.col("tr") * tile)}
+    return got.select("tr", "tc", *[c.alias(n) for n, c in edge.items()], F.lit(grid.width).alias("width"), F.lit(grid.height).alias("height"), "bands", "cells", "nodata")
+
+
+def write_raster(raster: DataFrame, path: str, band_name: Column) -> None:
+    """A raster as Parquet, a folder for each band, which carries its name."""
+    raster.withColumn("band_name", band_name).write.mode("overwrite").partitionBy("band_name").parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.geo import box_area_m2, haversine_km
+from emberline.functions.geo import box_area_m2
 from emberline.functions.scalar import NO_REGION, residual, thematic
 from emberline.operators import raster as R
 from emberline.operators.components import connected_components
@@ -95,7 +95,7 @@ def country_cascade(boxes: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     Each attempt sees only what the one before left without a name.
     """
     named = zones.filter("zone_name is not null")
-    met = boxes_intersect(boxes, zones.withColumnRenamed("zone_id", "_z"), key, "_z", cell=5.0).join(F.broadcast(zones.select(F.col("zone_id").alias("_z"), "zone_name")), "_z")
+    met = boxes_intersect(boxes, zones.withColumnRenamed("zone_id", "_z"), key, "_z", cell=5.0).join(zones.select(F.col("zone_id").alias("_z"), "zone_name"), "_z")
     one = met.groupBy(key).agg(F.min_by("zone_name", F.when(F.col("zone_name").isNotNull(), F.col("_z"))).alias("country")).filter("country is not null").withColumn("attempt", F.lit(1))
     rest = boxes.join(one, key, "left_anti").select(key, ((F.col("minx") + F.col("maxx")) / 2).alias("longitude"), ((F.col("miny") + F.col("maxy")) / 2).alias("latitude"))
     two = points_in_boxes(rest, named, cell=5.0, how="inner").groupBy(key).agg(F.min_by("zone_name", "zone_id").alias("country")).withColumn("attempt", F.lit(2))
@@ -142,7 +142,7 @@ def decompose(events: DataFrame, zones: DataFrame, key: str = "perim_id", cell:
     zone_pieces() of the same events where the caller has it.
     """
     area = event_area(events, key)
-    by_name = (cut or zone_pieces(events, zones, key, cell)).groupBy(key, "eco").agg(F.sum("ha").alias("ha")).join(area, key)
+    by_name = (zone_pieces(events, zones, key, cell) if cut is None else cut).groupBy(key, "eco").agg(F.sum("ha").alias("ha")).join(area, key)
     limit = F.greatest(F.lit(SLIVER_HA), F.col("area_ha") * SLIVER_SHARE)
     kept = by_name.filter(F.col("ha") >= limit).select(key, "eco", "ha", "area_ha", F.lit(False).alias("residual"))
     used = by_name.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("ha") >= limit, F.col("ha"))), F.lit(0.0)).alias("used"))
@@ -243,9 +243,3 @@ def class_clip(events: DataFrame, cover: DataFrame, grid: R.Grid, classes: tuple
     met = pixels.withColumn("m2", F.greatest(piece, F.lit(0.0))).join(cover, ["year", "row", "col"])
     sums = met.groupBy(key).agg(*[(F.sum(F.when(F.col("value") == k, F.col("m2")).otherwise(0.0)) / 1e6).alias(f"cl{k}_km2") for k in classes])
     return events.select(key).join(sums, key, "left")
-
-
-def chain_span_km(points: DataFrame, of: DataFrame, key: str = "det_id") -> DataFrame:
-    """(cluster, span_km): how far a cluster's corners are apart; chains may be longer than the radius."""
-    rows = points.join(of, key).groupBy("cluster").agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e"))
-    return rows.select("cluster", haversine_km(F.col("s"), F.col("w"), F.col("n"), F.col("e")).alias("span_km"))

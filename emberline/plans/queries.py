@@ -610,17 +610,5 @@ def g_distinct_days(s, d):
     return px.groupBy("year").agg(F.countDistinct("doy").alias("days"), F.countDistinct("row", "col").alias("cells"), F.min("doy").alias("first_doy"), F.max("doy").alias("last_doy"))
 
 
-@query()
-def r_vectorise_patches(s, d):
-    """Rings around every patch of at least MIN_PIX cells; no SQL for it, tests hold the areas against the cells."""
-    import pandas as pd
-
-    from emberline.operators.polygons import RING_TYPE, outline
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = outline(pdf["row"].to_numpy(), pdf["col"].to_numpy(), X.GRID)
-        return pd.DataFrame({"patch": [pdf["patch"].iloc[0]], "n_pix": [len(pdf)], "rings": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]]})
-
-    patches = _patches(s, d)
-    large = patches.groupBy("patch").agg(F.count("*").alias("n")).filter(F.col("n") >= P.MIN_PIX).select("patch")
-    return patches.join(large, "patch").select("patch", "row", "col").groupBy("patch").applyInPandas(trace, f"patch long, n_pix long, rings array<{RING_TYPE}>")
+# the other modules register theirs
+from emberline.plans import catalog_queries, polygon_queries, product_queries  # noqa: E402, F401

@@ -16,18 +16,26 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; a local one only where driver and executors share a machine."""
     base = spark.conf.get(_SETTING, None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} names no shared folder")
         base = f"file://{tempfile.mkdtemp(prefix='emberline-')}"
         spark.conf.set(_SETTING, base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the scratch folder and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/emberline/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,15 +13,94 @@ def read_detections(spark: SparkSession, path: str, schema: str = DETECTION_SCHE
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path).withColumn("acq_date", F.try_to_date("acq_date", "yyyy-MM-dd"))
 
 
-def read_layer(spark: SparkSession, path: str, required: list[str] = (), bbox: tuple[float, float, float, float] | None = None, limit: int | None = None) -> DataFrame:
-    """A Parquet layer; KeyError for missing columns; the box becomes plain range predicates that reach the scan."""
+POINT = "array<double>"
+RINGS = f"array<array<{POINT}>>"
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str, keep: list[str] | None = None) -> DataFrame:
+    """Features of newline-delimited GeoJSON: their properties, `geom_type` and `parts`.
+
+    properties: their schema as DDL; keep: those that are wanted, the others
+    aren't parsed.  Polygons and multi-polygons get parts, other geometries none.
+    """
+    wanted = [f.strip() for f in properties.split(",") if keep is None or f.split()[0] in keep]
+    props = ", ".join(f"{n}: {t}" for n, t in (f.split(None, 1) for f in wanted))
+    # coordinates are nested by one level more in a multi-polygon, so both readings are tried
+    one = F.from_json("value", f"properties struct<{props}>, geometry struct<type: string, coordinates: {RINGS}>")
+    many = F.from_json("value", f"geometry struct<coordinates: array<{RINGS}>>")
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(one.alias("one"), many.alias("many"))
+    ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    part = lambda p: F.struct(ring(p[0]).alias("shell"), F.transform(F.slice(p, 2, F.size(p)), ring).alias("holes"))
+    kind = F.col("one.geometry.type")
+    parts = F.when(kind == "Polygon", F.array(part(F.col("one.geometry.coordinates")))).when(kind == "MultiPolygon", F.transform("many.geometry.coordinates", part))
+    return lines.select("one.properties.*", kind.alias("geom_type"), parts.alias("parts"))
+
+
+def write_geojson(polygons: DataFrame, path: str, properties: list[str], parts: str = "parts") -> None:
+    """Features as newline-delimited GeoJSON; one part is a Polygon, several are a MultiPolygon."""
+    ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
+    part = lambda p: F.concat(F.array(ring(p["shell"])), F.transform(F.coalesce(p["holes"], F.array().cast("array<array<struct<x:double,y:double>>>")), ring))
+    every = F.transform(parts, part)
+    props = F.struct(*properties).alias("properties")
+    line = lambda kind, coordinates: F.to_json(F.struct(F.lit("Feature").alias("type"), props, F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+    polygons.select(F.when(F.size(parts) == 1, line("Polygon", every[0])).otherwise(line("MultiPolygon", every)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_layer(spark: SparkSession, path: str, required: list[str] = (), bbox: tuple[float, float, float, float] | None = None, limit: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A Parquet layer; KeyError for missing columns.
+
+    The box becomes range predicates on minx..maxy that reach the scan; a layer
+    without bounds is read in full and its bounds taken from `parts`.  columns:
+    those that are wanted; the scan leaves out the others, the geometry too.
+    """
     df = spark.read.parquet(path)
     if missing := sorted(set(required) - set(df.columns)):
         raise KeyError(f"{path} lacks {missing}")
     if bbox:
         w, s, e, n = bbox
-        df = df.filter((F.col("maxx") >= w) & (F.col("minx") <= e) & (F.col("maxy") >= s) & (F.col("miny") <= n))
-    return df.limit(limit) if limit is not None else df
+        near = (F.col("maxx") >= w) & (F.col("minx") <= e) & (F.col("maxy") >= s) & (F.col("miny") <= n)
+        if {"minx", "miny", "maxx", "maxy"} <= set(df.columns):
+            df = df.filter(near)
+        else:
+            from emberline.operators.polygons import bounds
+
+            df = bounds(df).filter(near).drop("minx", "miny", "maxx", "maxy")
+    df = df.limit(limit) if limit is not None else df
+    return df.select(*columns) if columns else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def build_if_absent(spark: SparkSession, path: str, build, ok: Column | None = None) -> tuple[DataFrame, bool]:  # noqa: ANN001
+    """(table, built): the committed table at path, else build() written there.
+
+    Rows for which `ok` isn't true go to `<path>_rejected` instead.  A table is
+    committed when its _SUCCESS file is there, which Spark writes last, so a run
+    that died midway is built anew.
+    """
+    done = exists(spark, f"{path}/_SUCCESS")
+    if not done:
+        rows = build()
+        if ok is not None:
+            rows, bad = quarantine(rows, ok)
+            bad.write.mode("overwrite").parquet(f"{path}_rejected")
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), not done
+
+
+def order_columns(df: DataFrame, standard: list[str], last: str = "geometry") -> DataFrame:
+    """Columns in the standard order, then the others as they come, then the geometry; none is dropped."""
+    first = [c for c in standard if c in df.columns and c != last]
+    tail = [last] if last in df.columns else []
+    return df.select(*first, *[c for c in df.columns if c not in first and c != last], *tail)
+
+
+def rename_reserved(df: DataFrame, reserved: list[str], suffix: str = "_gfa") -> DataFrame:
+    """Native columns whose names the product generates itself get a suffix."""
+    return df.withColumnsRenamed({c: f"{c}{suffix}" for c in df.columns if c in reserved})
 
 
 def one_layer(names: list[str], pattern: str = "") -> str:
@@ -61,9 +140,14 @@ def missing_tiles(expected: DataFrame, have: DataFrame, key: list[str]) -> DataF
     return expected.join(have, key, "left_anti")
 
 
+BOM = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ("geometry",)) -> None:
-    """CSV with a header, without geometry columns."""
-    df.drop(*drop).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """CSV without geometry columns; every part file starts with a byte-order mark and the header (utf-8-sig)."""
+    out = df.drop(*drop)
+    marked = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_layer(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), append: bool = False) -> None:

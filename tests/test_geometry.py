@@ -2,11 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, scalar
 from emberline.operators import raster as R
+from emberline.operators import spatial_join as J
 from emberline.operators.components import connected_components
 from emberline.operators.spatial_join import edges_of, points_in_polygons
 from emberline.plans import products as P
@@ -149,3 +151,61 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").count() == 2
     good, bad = S.quarantine(df, F.when(F.col("id") == 1, True))
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_layers_and_pruned_scans(spark, tmp_path):
+    for names in (["a", "b"], []):
+        with pytest.raises(ValueError):
+            S.one_layer(names)
+    assert S.one_layer(["Peru_eco", "x"], "ECO") == "Peru_eco"
+    path = f"file://{tmp_path}/l"
+    S.write_layer(spark.range(100).selectExpr("id", "id * 1D AS minx", "id * 1D AS miny", "id + 1D AS maxx", "id + 1D AS maxy", "array(id) AS shapes"), path)
+    df = S.read_layer(spark, path, ["id"], (10.0, 0.0, 12.0, 100.0), columns=["id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "shapes" not in plan and "GreaterThanOrEqual(maxx,10.0)" in plan and sorted(r.id for r in df.collect()) == [9, 10, 11, 12]
+
+
+def test_nearest_box_by_cells_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    boxes = [(i, x, y, x + rng.random() / 5, y + rng.random() / 5) for i, (x, y) in enumerate((rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(60))]
+    pts = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(300)]
+    b = spark.createDataFrame(boxes, "z int, minx double, miny double, maxx double, maxy double")
+    p = spark.createDataFrame(pts, "k int, longitude double, latitude double")
+    got = [{r.k: (r.value, round(r.distance, 9)) for r in J.nearest_box(p, b, ["k"], F.col("z"), F.col("z"), most=n).collect()} for n in (100, 10)]
+    assert got[0] == got[1] and len(got[0]) == 300
+
+
+def test_radius_pairs_at_all_latitudes(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    pts = [(i, rng.uniform(10, 10.3), lat + rng.uniform(-0.02, 0.02), datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(40))) for i, lat in enumerate([60.0, 59.98, 75.0, -0.01, -60.01, 10.0] * 50)]
+    df = spark.createDataFrame(pts, "k int, longitude double, latitude double, day date")
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and abs((a[3] - b[3]).days) <= 15 and km(a, b) <= 1.0}
+    got = [(r.a, r.b) for r in J.radius_time_pairs(df, "k", "day").collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_polygon_relations_and_measures(spark):
+    from emberline.operators import polygons as G
+
+    ring = lambda *p: np.array([*p, p[0]], float)
+    u = [(ring((0, 0), (5, 0), (5, 5), (4, 5), (4, 1), (1, 1), (1, 5), (0, 5)), [])]
+    box = lambda x, y, w, h: [(ring((x, y), (x + w, y), (x + w, y + h), (x, y + h)), [])]
+    assert G.relate(box(2, 2, 1, 1), u) == (False, False)  # in the mouth of the U
+    assert G.relate(box(0.2, 0.2, 0.5, 0.5), u) == (True, True)
+    assert G.relate(box(0.5, 2, 4, 1), u) == (True, False)
+    assert G.relate(u, box(-1, -1, 9, 9)) == (True, True)
+    holed = [(ring((0, 0), (4, 0), (4, 4), (0, 4)), [ring((1, 1), (3, 1), (3, 3), (1, 3))])]
+    assert G.relate(box(1.5, 1.5, 1, 1), holed) == (False, False) and G.relate(box(0.5, 0.5, 3, 3), holed) == (True, False)
+    assert G.plane_area(holed) == 12 and G.centroid(holed) == pytest.approx((2, 2)) and G.centroid([]) is None
+    assert G.plane_area(G.intersection(u, box(0.5, 2, 4, 1))) == pytest.approx(1.0)

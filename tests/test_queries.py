@@ -35,9 +35,3 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in res.fetchall())
-
-
-def test_sample_is_stable(spark):
-    a = QUERIES["a_bernoulli_sample"](spark, DATA)
-    assert 50 < a.count() < 170
-    assert a.exceptAll(QUERIES["a_bernoulli_sample"](spark, DATA)).count() == 0
