@@ -37,14 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path  # noqa: SLF001  for discard()
+    return table
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize() that nothing reads any more."""
+    """Delete a table made by materialize() that nothing reads any more."""
     spark = df.sparkSession
-    path = df.inputFiles()
-    if path:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

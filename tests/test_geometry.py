@@ -10,6 +10,7 @@ from emberline.functions import geo, scalar
 from emberline.operators import raster as R
 from emberline.operators import spatial_join as J
 from emberline.operators.components import connected_components
+from emberline.operators.skew import join_unique
 from emberline.operators.spatial_join import edges_of, points_in_polygons
 from emberline.plans import products as P
 from emberline.sources import tables as S
@@ -75,6 +76,31 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and got[100] == got[101] == 100 and got[200] == 200
 
 
+@pytest.mark.parametrize("local,hot", [(0, 10**9), (0, 15), (30, 10**9), (10**6, 10**9)])
+def test_components_all_ways(spark, local, hot):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (220, 2))] + [(1000, int(x)) for x in rng.integers(1001, 1100, 60)] + [(5, 5), (2000, 2000)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long"), local=local, hot=hot).collect()}
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_with_hot_keys(spark, how):
+    left = spark.range(300).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id")
+    right = spark.range(0, 200).selectExpr("id AS k", "id * 2 AS v")
+    plain, split = (join_unique(left, right, "k", how, hot) for hot in (10**9, 20))
+    assert plain.exceptAll(split).count() == 0 and plain.count() == split.count() > 150
+
+
 def test_patches_by_day_and_month(spark):
     px = spark.createDataFrame([(2005, 1, 0, 0, 5), (2005, 1, 0, 1, 6), (2005, 1, 1, 1, 5), (2005, 2, 1, 0, 5)], "year int, month int, row int, col int, doy int")
     assert P.burned_patches(px).select("patch").distinct().count() == 3
