@@ -18,10 +18,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.plans.scratch import materialize
+
 #: Bits of a draw; 52 bits are exact in a double.
 _BITS = 52
 #: Rows of one shard that one task numbers, about.
 BUCKET_ROWS = 50_000
+#: Repeats of a row that are dealt out at once.
+PIECE = 100_000
 
 
 @dataclass(frozen=True)
@@ -83,8 +87,10 @@ def shard_rows(docs: DataFrame, shards: int = 8, tree: list[Leaf] | None = None,
     checksum 0; a null id is the key of the empty string.  An empty table gives
     no rows.  Other columns are ignored.
 
-    Numbers are dealt by shard and hash bucket, the number of buckets in
-    proportion to the rows, so no task numbers a whole shard.
+    Rows that agree in all that is returned are counted, numbered as one, and
+    dealt out again in pieces, so a row that is repeated often is no task's
+    burden.  Numbers are given by shard and hash bucket, the number of buckets
+    in proportion to the rows, so no task numbers a whole shard.
     """
     tree = tree or default_tree(shards)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -94,13 +100,19 @@ def shard_rows(docs: DataFrame, shards: int = 8, tree: list[Leaf] | None = None,
     ).withColumns({"shard": assign(F.col("_key"), tree).cast("int"), "grown_shard": assign(F.col("_key"), grow(tree)).cast("int")})
     order = F.conv(F.substring(F.md5(F.concat("_key", F.lit("#"), F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_order", order)
-    total = docs.count()
+    distinct = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "_order").agg(F.count("*").alias("_n"))
+    distinct = materialize(distinct, "shard-rows")
+    total = distinct.count()
     bits = max(0, (max(1, total // (len(tree) * BUCKET_ROWS))).bit_length())
-    rows = rows.withColumn("_bucket", F.shiftright("_order", 32 - bits).cast("int"))
-    sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
+    distinct = distinct.withColumn("_bucket", F.shiftright("_order", 32 - bits).cast("int"))
+    sizes = distinct.groupBy("shard", "_bucket").agg(F.sum("_n").alias("n"))
     # a row for each shard and bucket: one in BUCKET_ROWS of the input's
     earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("shard", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "doc_id", "text_crc32")) - 1
-    out = rows.join(F.broadcast(before) if (1 << bits) * len(tree) <= 1 << 20 else before, ["shard", "_bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + place).cast("long").alias("slot"), "grown_shard")
+    own = Window.partitionBy("shard", "_bucket").orderBy("_order", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = distinct.join(F.broadcast(before) if (1 << bits) * len(tree) <= 1 << 20 else before, ["shard", "_bucket"])
+    out = out.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PIECE)))
+    out = out.withColumn("_piece", piece)
+    out = out.withColumn("_i", F.explode(F.sequence(F.col("_piece") * PIECE, F.least(F.col("_piece") * PIECE + PIECE, F.col("_n")) - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_i")).cast("long").alias("slot"), "grown_shard")

@@ -29,17 +29,18 @@ from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
 from emberline.operators.components import connected_components
+from emberline.operators.skew import join_unique
 from emberline.plans.scratch import discard, materialize
 
 SIGNATURE = 128
-#: Trees of the forest, values in a tree's key (a byte each) and the least common prefix of a candidate pair.
+#: Trees of the forest, values in a tree's key (a byte each) and the least common prefix of a candidate pair at 0.8.
 TREES, DEPTH, LEAST = 16, 64, 3
+#: Chance with which a pair at the threshold may share too short a prefix in all trees; the prefix shortens until it is met.
+MISS = 2e-5
 #: A region of at most so many signatures is compared in full.
 REGION = 6
-#: Share of equal signature values below which a candidate isn't confirmed on full sets; 5 standard deviations below 0.8.
-SIEVE = 0.62
-#: The same in crowds, where a pair isn't to be lost by chance: 8 standard deviations below 0.8.
-CROWD_SIEVE = 0.5
+#: Standard deviations below the threshold at which the share of equal signature values rules a candidate out; in crowds, where a pair isn't to be lost by chance, more.
+SIEVE, CROWD_SIEVE = 5, 8
 #: Best-connected members of a group that stand for it in the second round.
 HUBS = 16
 #: Bits of the table that tells common shingles from rare ones; it only orders them, so collisions cost time.
@@ -50,6 +51,21 @@ _A = _r.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
 _B = _r.integers(0, 2**32, SIGNATURE, dtype=np.uint32)
 
 
+def sieve(percent: int, deviations: float) -> float:
+    """The share of equal signature values of a pair at the threshold, less so many standard deviations."""
+    share = percent / 100
+    return share - deviations * (share * (1 - share) / SIGNATURE) ** 0.5
+
+
+def least_prefix(percent: int) -> int:
+    """The longest common prefix, up to LEAST values, that a pair at the threshold has in some tree but for a chance of MISS."""
+    share = percent / 100
+    for k in range(LEAST, 0, -1):
+        if (1 - share**k) ** TREES <= MISS:
+            return k
+    raise ValueError(f"{TREES} trees are too few for a similarity of {percent} percent")
+
+
 def document_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each document, sorted, and their offsets."""
     buf = K.LOWER[buf]
@@ -125,7 +141,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in keys], pa.binary())], ["class", "key"])
 
 
-def order_candidates(keys: np.ndarray) -> np.ndarray:
+def order_candidates(keys: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Index pairs of candidates among sorted keys (tree byte, then DEPTH one-byte values).
 
     Pairs: the nearest neighbours in the order, everything within a region of at
@@ -138,10 +154,10 @@ def order_candidates(keys: np.ndarray) -> np.ndarray:
     differ = keys[1:, 1:] != keys[:-1, 1:]
     lcp = np.where(differ.any(1), differ.argmax(1), DEPTH)
     lcp[keys[1:, 0] != keys[:-1, 0]] = 0
-    near = np.flatnonzero(lcp >= LEAST)
+    near = np.flatnonzero(lcp >= least)
     pairs = [np.stack([near, near + 1], axis=1)]
-    cut = np.r_[0, np.flatnonzero(lcp < LEAST) + 1, n]
-    stack = [(int(a), int(b), LEAST) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 2]
+    cut = np.r_[0, np.flatnonzero(lcp < least) + 1, n]
+    stack = [(int(a), int(b), least) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 2]
     while stack:
         a, b, depth = stack.pop()
         if b - a <= REGION:
@@ -166,36 +182,40 @@ def order_candidates(keys: np.ndarray) -> np.ndarray:
     return out[out[:, 0] != out[:, 1]]
 
 
-def crowded(keys: np.ndarray) -> np.ndarray:
+def crowded(keys: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Indexes among sorted keys of regions above REGION, and of the first and last region, which may go on elsewhere."""
     n = len(keys)
-    cut = np.r_[0, np.flatnonzero((keys[1:, : 1 + LEAST] != keys[:-1, : 1 + LEAST]).any(1)) + 1, n]
+    cut = np.r_[0, np.flatnonzero((keys[1:, : 1 + least] != keys[:-1, : 1 + least]).any(1)) + 1, n]
     size = np.diff(cut)
     large = size > REGION
     large[[0, -1]] = True
     return np.flatnonzero(np.repeat(large, size))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(least: int):
     """Candidate pairs of one stretch of the sorted orders, each once; a member of a crowd with itself."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
 
-    def flush() -> pa.RecordBatch:
-        ids, keys = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        p = np.concatenate([order_candidates(keys), np.repeat(crowded(keys)[:, None], 2, axis=1)])
-        p = np.unique(np.sort(ids[p], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 1 + DEPTH)))
-            size += batch.num_rows
-        if size >= 400_000:  # goes on with the last row, so that its neighbour isn't missed
+        def flush() -> pa.RecordBatch:
+            ids, keys = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            p = np.concatenate([order_candidates(keys, least), np.repeat(crowded(keys, least)[:, None], 2, axis=1)])
+            p = np.unique(np.sort(ids[p], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 1 + DEPTH)))
+                size += batch.num_rows
+            if size >= 400_000:  # goes on with the last row, so that its neighbour isn't missed
+                yield flush()
+                held, size = [(held[-1][0][-1:], held[-1][1][-1:])], 1
+        if held:
             yield flush()
-            held, size = [(held[-1][0][-1:], held[-1][1][-1:])], 1
-    if held:
-        yield flush()
+
+    return run
 
 
 def _agree(share: float):
@@ -234,7 +254,7 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _sieved(pairs: DataFrame, classes: DataFrame, share: float = SIEVE) -> DataFrame:
+def _sieved(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     sig = classes.select("class", "signature")
     both = pairs.join(sig.select(F.col("class").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("signature").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_agree(share), "a long, b long")
@@ -335,7 +355,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of
     their distinct shingles of `words` words (white-space words, A-Z lowered).
-    component_id is the smallest id reachable by links.
+    component_id is the smallest id reachable by links.  The prefix that makes
+    a candidate and the sieve follow `percent`; below about 50, where the trees
+    are too few, it is a ValueError.
 
     A null or empty text and a text of white space have no shingles and are
     linked with nothing; fewer words than `words` are one shingle.  Rows that
@@ -343,6 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for itself.  A null id takes part like any other and is never the smallest
     unless its component has no other.  Columns besides the two are ignored.
     """
+    least, share = least_prefix(percent), sieve(percent, SIEVE)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = rows.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, signature binary")
     sketch = materialize(sketch, "minhash-sketch")
@@ -354,9 +377,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = one.select("class", "signature").mapInArrow(_grow, "class long, key binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = materialize(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "minhash-found")
+    found = materialize(ordered.mapInArrow(_neighbours(least), "a long, b long").distinct(), "minhash-found")
     crowd = found.filter("a = b").select(F.col("a").alias("class"))
-    pairs = materialize(_sieved(found.filter("a <> b"), one), "minhash-pairs")
+    pairs = materialize(_sieved(found.filter("a <> b"), one, share), "minhash-pairs")
 
     ends = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).unionAll(crowd).distinct()
     wanted = ends.join(one.select("class", "least_id", "digest"), "class")
@@ -366,12 +389,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialize(texts, "minhash-texts")
     links = materialize(_linked(pairs, texts, words, percent), "minhash-links")
     groups = materialize(connected_components(links, "a", "b"), "minhash-groups")
-    more = _sieved(_with_hubs(pairs, links, groups), one)
+    more = _sieved(_with_hubs(pairs, links, groups), one, share)
     more = materialize(_linked(more, texts, words, percent), "minhash-links")
     joined = lambda links: connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links), "a", "b")
     if not more.isEmpty():
         groups = materialize(joined(more), "minhash-groups")
-    rest = _sieved(_crowd_pairs(texts.join(crowd, "class", "left_semi"), groups, words, percent), one, CROWD_SIEVE)
+    rest = _sieved(_crowd_pairs(texts.join(crowd, "class", "left_semi"), groups, words, percent), one, sieve(percent, CROWD_SIEVE))
     rest = materialize(_linked(rest, texts, words, percent), "minhash-links")
     discard(texts)
     if not rest.isEmpty():
@@ -380,6 +403,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = one.join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("component", "class").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = materialize(member.join(smallest, "root").select("class", "component_id"), "minhash-components")
-    out = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, number).alias("class")).join(of_class, "class", "left")
+    # a set that very many rows have is sent to them
+    out = join_unique(sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, number).alias("class")), of_class, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

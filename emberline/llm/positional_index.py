@@ -1,19 +1,19 @@
-"""Benchmark decontamination with a positional inverted index.
-
-Each test phrase (a window of words) is looked up from its rarest term on: the
-postings of the rarest terms are stored with their place and the words around
-it, offset-adjusted to where a phrase would start, and intersected with the
-next rarest terms until all words agree.  Only SQL functions are used.
-
-The test set is a small table; its terms go into the scan as literals in blocks
-of a fixed size (``BLOCK_TERMS``), so a larger test set means more blocks, not
-larger ones.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+The index stores a posting (term, document, position) for every occurrence of a
+term of the test set in the corpus, in one pass over it.  A test phrase (a
+window of words) is found by intersecting the lists of its terms, each moved
+back by the term's place in the phrase, from the rarest term on: the rarest
+gives the places where the phrase may start, the next rarest keeps those that
+it has, too, and the few that are left are held against all other terms.  Only
+SQL functions are used.
+
+Postings stay with their documents, so building the index shuffles nothing, and
+terms are numbers, so equal numbers are equal words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +22,10 @@ from emberline.plans.scratch import materialize
 #: What stands between words once A-Z is lowered: every ASCII character that is no digit and no lower-case letter.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct terms, and so windows, that one pass over the corpus takes as literals.
-BLOCK_TERMS = 20_000
+#: Rows of numbers, or terms, up to which a table goes to all tasks; a larger one is shuffled.
+SENT_ROWS, SENT_TERMS = 1_000_000, 300_000
+#: Parts into which the rows of each term are dealt where the terms are too many to be sent.
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -31,6 +33,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWERED), BREAK), lambda w: w != "")
 
 
+def _sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df, marked to be sent to all tasks if its size allows it. df is a stored table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def windows(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(window, items): the distinct runs of n words of the items, and which items have them.
 
@@ -41,46 +48,84 @@ def windows(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "
     return words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def term_counts(words: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n): how often each term stands in the corpus; terms without occurrence are left out."""
-    return words.select(F.explode(F.filter("w", lambda x: x.isin(terms))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+def build_index(docs: DataFrame, vocabulary: DataFrame, most_terms: int = SENT_TERMS) -> DataFrame:
+    """The stored index: (doc_id, h, pos, term, n_words), a row for every occurrence of a term.
+
+    docs: doc_id, t (the text); vocabulary: word, term (a number), a stored
+    table.  h tells rows of one id with other texts apart.  Every document has
+    besides a row with its number of words, and no term unless its first word has one.
+    """
+    words = docs.select("doc_id", F.xxhash64("t").alias("h"), words_of(F.col("t")).alias("w"))
+    each = words.select("doc_id", "h", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "word"))
+    if vocabulary.limit(most_terms + 1).count() <= most_terms:
+        found = each.join(F.broadcast(vocabulary), "word", "left")
+    else:  # a very common word is dealt to several tasks
+        salted = vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = each.withColumn("salt", F.pmod(F.coalesce("pos", F.lit(0)), F.lit(SALTS))).join(salted, ["word", "salt"], "left")
+    first = F.coalesce("pos", F.lit(0)) == 0
+    return materialize(found.filter(first | F.col("term").isNotNull()).select("doc_id", "h", "pos", "term", F.when(first, F.col("n")).alias("n_words")), "index-postings")
 
 
-def postings(words: DataFrame, key: str, terms: list[str], reach: int) -> DataFrame:
-    """(key, n_words, found): per document the places of the terms, each with the words up to `reach` around it."""
-    at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(terms), i)), lambda i: i.isNotNull())
+_DOC = ["doc_id", "h"]
 
-    def around(i: Column) -> Column:
-        first = F.greatest(i - reach, F.lit(0))
-        return F.struct(F.element_at("w", i + 1).alias("term"), i.alias("pos"), (i - first).alias("left"), F.slice("w", first + 1, (i - first) + reach + 1).alias("near"))
 
-    return words.select(key, F.size("w").cast("long").alias("n_words"), F.transform(at, around).alias("found"))
+def _same_doc(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["h"].eqNullSafe(b["h"])
 
 
-def phrase_matches(found: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
-    """(key, start, length, phrase): every place where a phrase stands.
+def _having(starts: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """The starts at which all `terms` of their phrase stand in the index.
 
-    found: postings() of the phrases' rarest terms; phrases: phrase (number),
-    window (words), order (0-based word places, rarest term first).
+    starts: doc_id, h, phrase, start; terms: phrase, o (place in it), term.  A
+    phrase without any of the terms keeps its starts.
+    """
+    starts = materialize(starts, "index-starts")
+    need = starts.join(_sent(terms), "phrase").select(*_DOC, "phrase", "start", (F.col("start") + F.col("o")).alias("pos"), "term")
+    need = _sent(materialize(need, "index-needed"))
+    lists = index.join(_sent(materialize(terms.select("term").distinct(), "index-terms")), "term", "left_semi")
+    met = need.join(lists, _same_doc(need, lists) & (need["pos"] == lists["pos"]) & (need["term"] == lists["term"]))
+    # rows that repeat id and text have each posting more than once
+    got = met.groupBy(need["doc_id"], need["h"], "phrase", "start").agg(F.countDistinct(need["pos"]).alias("got"))
+    asked = terms.groupBy("phrase").agg(F.count("*").alias("asked"))
+    held = got.join(asked, "phrase").filter("got = asked").select(*_DOC, "phrase", "start")
+    return held.unionByName(starts.join(_sent(materialize(asked.select("phrase"), "index-asked")), "phrase", "left_anti"))
+
+
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, h, phrase, start, length): every place where a phrase stands.
+
+    index: build_index() of all terms; phrases: phrase, terms (array of numbers).
     """
-    lists = found.select(key, F.explode("found").alias("p")).select(key, "p.term", "p.pos", "p.left", "p.near")
-    rare = phrases.withColumn("first", F.element_at("order", 1)).withColumn("term", F.element_at("window", F.col("first") + 1))
-    start = F.col("left") - F.col("first")
-    hit = lists.join(rare, "term").filter((start >= 0) & (start + F.size("window") <= F.size("near")))
-    # the other terms' lists, offset-adjusted to the same start, from the next rarest on; forall stops at the first miss
-    rest = F.forall(F.slice("order", F.lit(2), F.size("order")), lambda o: F.element_at("near", start + o + 1) == F.element_at("window", o + 1))
-    return hit.filter(rest).select(key, (F.col("pos") - F.col("first")).alias("start"), F.size("window").alias("length"), "phrase").distinct()
+    counts = materialize(index.filter("term is not null").groupBy("term").agg(F.count("*").alias("n")), "index-counts")
+    each = phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("o", "term")).join(counts, "term", "left")
+    by_rarity = Window.partitionBy("phrase").orderBy(F.asc_nulls_first("n"), "o")
+    ranked = each.withColumns({"rank": F.row_number().over(by_rarity), "least": F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("phrase"))})
+    # a phrase with a term that the corpus doesn't have stands nowhere
+    ranked = materialize(ranked.filter("least > 0").select("phrase", "length", "rank", "o", "term"), "index-ranked")
+    part = lambda cond: materialize(ranked.filter(cond).select("phrase", "o", "term", "length"), "index-ranked")
+    rarest, next_, others = part("rank = 1"), part("rank = 2"), part("rank > 2")
+    starts = index.join(_sent(rarest), "term").select(*_DOC, "phrase", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0").distinct()
+    for terms in (next_, others):
+        starts = _having(starts, terms.select("phrase", "o", "term"), index)
+    return materialize(starts.join(_sent(rarest.select("phrase", "length")), "phrase"), "index-matches")
 
 
 def proximity_matches(docs: DataFrame, first: str, second: str, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, other): places of the word `first` with the word `second` at most `within` words away.
 
-    Words are compared after lowering A-Z.  A document without both gives no row.
+    Words are compared after lowering A-Z.  A document without both gives no
+    row; a place isn't near itself.  The two lists of a stored index are
+    intersected by stretches of the positions.
     """
-    words = docs.select(id_col, words_of(F.col(text_col)).alias("w"))
-    lists = postings(words, id_col, [first], within).select(id_col, F.explode("found").alias("p"))
-    others = F.filter(F.transform("p.near", lambda x, i: F.when((x == second) & (i != F.col("p.left")), F.col("p.pos") - F.col("p.left") + i)), lambda i: i.isNotNull())
-    return lists.select(id_col, F.col("p.pos").alias("pos"), F.explode(others).alias("other"))
+    spark = docs.sparkSession
+    vocabulary = materialize(spark.createDataFrame(sorted({(first, 0), (second, 0 if second == first else 1)}), "word string, term long"), "index-terms")
+    index = build_index(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")), vocabulary)
+    width = within + 1
+    a = index.filter("term = 0").withColumn("block", F.explode(F.array(*[F.floor(F.col("pos") / width) + k for k in (-1, 0, 1)])))
+    b = index.filter(F.col("term") == (0 if second == first else 1)).select(F.col("doc_id").alias("other_id"), F.col("h").alias("other_h"), F.col("pos").alias("other"), F.floor(F.col("pos") / width).alias("other_block"))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.col("h").eqNullSafe(F.col("other_h")) & (F.col("block") == F.col("other_block"))
+    near = a.join(b, same & (F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other")))
+    return near.select(F.col("doc_id").alias(id_col), "pos", "other")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, ratio: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -88,47 +133,27 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, ratio: int = 2
 
     A word is hit if it stands inside an occurrence of a window of an item;
     contaminated means n_hit > 0 and ratio * n_hit >= n_words.  A null or empty
-    text has no words; an empty table of items hits nothing.  Rows with one id
-    and equal texts get equal results, rows with one id and other texts each
-    their own.  A null id is an id like others.  Other columns are ignored.
+    text has no words; an empty table of items hits nothing, an empty table of
+    docs gives no rows.  Rows with one id and equal texts get equal results, rows
+    with one id and other texts each their own.  A null id is an id like others.
+    Other columns are ignored; a text of any length is read whole.
     """
-    spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    # the key tells rows of one id with other texts apart
-    words = base.select(F.struct("doc_id", F.xxhash64("t").alias("h")).alias("key"), words_of(F.col("t")).alias("w"))
-    phrases = materialize(windows(items, n, item_col).withColumn("phrase", F.xxhash64("window")), "index-windows")
-    vocabulary = phrases.select(F.explode("window").alias("term")).distinct()
-    blocks = max(1, -(-vocabulary.count() // BLOCK_TERMS))
-    held = []
-    for b in range(blocks):
-        own = vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
-        terms = [r.term for r in own.collect()]  # a block's worth
-        held.append(term_counts(words, terms))
-    counts = materialize(reduce(DataFrame.unionAll, held), "index-counts")
-    # a window with a term that the corpus doesn't have occurs nowhere
-    each = phrases.select("phrase", F.posexplode("window").alias("o", "term")).join(counts, "term", "left")
-    order = each.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o"))).alias("by"))
-    ranked = phrases.join(order.filter(F.col("by")[0]["n"] > 0), "phrase").select("phrase", "window", F.transform("by", lambda x: x["o"]).alias("order"))
-    ranked = materialize(ranked, "index-phrases")
-    anchors = [r.term for r in ranked.select(F.element_at("window", F.element_at("order", 1) + 1).alias("term")).distinct().limit(BLOCK_TERMS * blocks).collect()]
-    passes = [anchors[i : i + BLOCK_TERMS] for i in range(0, len(anchors), BLOCK_TERMS)] or [[]]
-    hits, sizes = [], None
-    for terms in passes:
-        found = materialize(postings(words, "key", terms, n - 1), "index-postings")
-        sizes = found.select("key", "n_words") if sizes is None else sizes
-        hits.append(phrase_matches(found, "key", F.broadcast(ranked) if len(anchors) <= BLOCK_TERMS else ranked))
-    matches = materialize(reduce(DataFrame.unionAll, hits), "index-matches")
-
-    spans = matches.select("key", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    by_key = Window.partitionBy("key").orderBy("start", "end")
-    covered = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    n_hit = spans.withColumn("new", covered).groupBy("key").agg(F.sum("new").alias("n_hit"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    phrases = materialize(windows(items, n, item_col).withColumn("phrase", F.monotonically_increasing_id()), "index-windows")
+    vocabulary = materialize(phrases.select(F.explode("window").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id()), "index-terms")
+    numbered = phrases.select("phrase", F.posexplode("window").alias("o", "word")).join(vocabulary, "word")
+    numbered = numbered.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "term"))), lambda x: x["term"]).alias("terms"))
+    index = build_index(base, vocabulary)
+    matches = phrase_matches(index, materialize(numbered, "index-phrases"))
+    spans = matches.select(*_DOC, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    by_doc = Window.partitionBy(*_DOC).orderBy("start", "end")
+    covered = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    n_hit = spans.withColumn("new", covered).groupBy(*_DOC).agg(F.sum("new").alias("n_hit"))
     of = phrases.select("phrase", F.explode("items").alias("item"))
-    in_items = matches.select("key", "phrase").distinct().join(F.broadcast(of) if len(anchors) <= BLOCK_TERMS else of, "phrase").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = n_hit.join(in_items, "key").select(F.col("key.doc_id").alias("id"), F.col("key.h").alias("h"), "n_hit", "items")
-    rows = sizes.select(F.col("key.doc_id").alias("doc_id"), F.col("key.h").alias("th"), "n_words")
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["th"] == found["h"]), "left")
+    in_items = matches.select(*_DOC, "phrase").distinct().join(of, "phrase").groupBy(*_DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = n_hit.join(in_items, _same_doc(n_hit, in_items)).select(n_hit["doc_id"].alias("id"), n_hit["h"].alias("of"), "n_hit", "items")
+    rows = index.filter("n_words is not null").select("doc_id", "h", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["h"] == found["of"]), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

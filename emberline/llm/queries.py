@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.chat_events import fold_events, masked_texts, read_back, render
@@ -73,14 +73,41 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_read(spark, sf_dir, "documents"))
 
 
+def _as_log(rows: DataFrame) -> DataFrame:
+    """An event log whose final messages are the rows: what each row says is drafted, streamed, edited or written anew.
+
+    By a hash of the row, a message is written at once, or streamed in three
+    deltas, or drafted and then edited, or a streamed draft is regenerated and
+    streamed again, or deleted and written again.  target numbers the messages of
+    a conversation by turn, role and text.
+    """
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text"))
+    rows = rows.withColumn("target", number).withColumn("way", F.pmod(F.xxhash64("conv_id", "target"), F.lit(5)))
+    n = F.length("text")
+    third = lambda k: F.substring("text", F.floor(n * k / 3).cast("int") + 1, (F.floor(n * (k + 1) / 3) - F.floor(n * k / 3)).cast("int"))
+    event = lambda kind, text, role="role": F.struct(F.lit(kind).alias("kind"), (F.col(role) if role == "role" else F.lit(role)).alias("role"), text.alias("text"))
+    draft, streamed = F.concat(F.reverse("text"), F.lit(" </s>?")), [event("delta", third(k), "") for k in (0, 1, 2)]
+    ways = [
+        F.array(event("message", F.col("text"))),
+        F.array(event("message", F.lit("")), *streamed),
+        F.array(event("message", draft), event("delta", F.lit("...")), event("edit", F.col("text"))),
+        F.array(event("message", F.lit("")), event("delta", draft), event("regenerate", F.lit(""), ""), *streamed),
+        F.array(event("message", draft), event("delete", F.lit("")), event("message", third(0)), *streamed[1:]),
+    ]
+    chosen = F.when(F.col("way") == 0, ways[0])
+    for k in (1, 2, 3):
+        chosen = chosen.when(F.col("way") == k, ways[k])
+    log = rows.select("conv_id", "turn", "target", F.posexplode(chosen.otherwise(ways[4])).alias("step", "e"))
+    return log.select("conv_id", F.struct("turn", "step").alias("seq"), "target", "e.kind", "e.role", "e.text")
+
+
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation rows are whole-message events; their turn is their sequence. Rows that repeat a turn each stand for a message."""
+    """Conversation rows as logs of events, folded, rendered and read back. Rows that repeat a turn each stand for a message."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    rows = rows.unionByName(own).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "row": F.monotonically_increasing_id()})
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text", "row").alias("target"), "role", "text")
-    done = render(fold_events(events)).select("conv_id", "formatted", "loss_spans")
+    rows = rows.unionByName(own).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    done = render(fold_events(_as_log(rows))).select("conv_id", "formatted", "loss_spans")
     done = done.withColumns({"turns": read_back(F.col("formatted")), "under_mask": F.concat_ws("", masked_texts(F.col("formatted"), F.col("loss_spans")))})
     turns = F.concat_ws("", F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))))
     return done.select(
@@ -132,6 +159,37 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def _draw_sql(path: str, weight: float) -> str:
+    return f"(-ln((('0x' || substr(md5(k || '|{path}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / {weight!r})"
+
+
+def _tree_sql(shards: int, grown: bool) -> str:
+    """The shard of the key k: the least draw of the regions, of its racks, of their shards (two in a rack, two racks in a region)."""
+
+    def least(options: list[tuple[str, float, str]]) -> str:
+        if len(options) == 1:
+            return options[0][2]
+        draws = "[" + ", ".join(_draw_sql(path, w) for path, w, _ in options) + "]"
+        return f"CASE list_position({draws}, list_min({draws})) " + " ".join(f"WHEN {i + 1} THEN {x}" for i, (_, _, x) in enumerate(options)) + " END"
+
+    regions = []
+    for r in range(shards // 4):
+        racks = [(f"/r{r}/k{k}", 2.0, least([(f"/r{r}/k{k}/{x}", 1.0, str(x)) for x in (2 * k, 2 * k + 1)])) for k in (2 * r, 2 * r + 1)]
+        regions.append((f"/r{r}", 4.0, least(racks)))
+    return least([*regions, (f"/g{shards}", 1.0, str(shards))] if grown else regions)
+
+
+#: crc32 by its table of 256 values, which the polynomial gives.
+_OP9 = f"""
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS v, 0 AS n FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, n + 1 FROM bits WHERE n < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE n = 8),
+d AS MATERIALIZED (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c // 256, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM documents, tab),
+s AS (SELECT *, ({_tree_sql(8, False)})::INT AS shard, ({_tree_sql(8, True)})::INT AS grown_shard, ('0x' || substr(md5(k || '#' || crc), 1, 8))::BIGINT AS o FROM d)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id NULLS FIRST, crc) - 1 AS slot, grown_shard FROM s
+"""
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -175,5 +233,6 @@ ORACLES: dict[str, str] = {
     "op1_embedding_dedup": _OP1,
     "op6_positional_index": _OP6,
     "op8_chat_events": _OP8,
+    "op9_hash_tree": _OP9,
     "op10_minhash_forest": _OP10,
 }

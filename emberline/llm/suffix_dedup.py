@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
+from emberline.operators.skew import join_unique
 from emberline.plans.scratch import materialize
 
 WIDTH, GRAM = 200, 64
@@ -394,11 +395,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spot = F.xxhash64("class", "place")
     # written first, so that the join with it can split the rows of a very common gram
     grams = materialize(found.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("gram"), "suffix-grams")
-    several = materialize(found.join(grams, "gram"), "suffix-anchors").distinct()
+    several = materialize(found.join(grams, "gram").distinct(), "suffix-anchors")
     spread = several.groupBy("around").agg(F.count("*").alias("times"), F.min(F.struct("class", "place")).alias("lead"))
     # whole: all windows of the anchor repeat; of equal surroundings one stands for all among the suffixes to be sorted
     whole = F.col("times") > 1
-    anchor = several.join(spread, "around").select("class", "gram", "place", "lo", "hi", whole.alias("whole"), (~whole | (F.col("lead") == F.struct("class", "place"))).alias("entry"))
+    # surroundings that very many anchors share are sent to them
+    anchor = join_unique(several, spread, "around").select("class", "gram", "place", "lo", "hi", whole.alias("whole"), (~whole | (F.col("lead") == F.struct("class", "place"))).alias("entry"))
     anchor = materialize(anchor, "suffix-anchors")
     groups = anchor.groupBy("gram").agg(F.sum(F.col("entry").cast("int")).alias("entries"), F.max(~F.col("whole")).alias("open"))
     asked = anchor.filter("entry").join(groups.filter("open"), "gram")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
+from emberline.operators.skew import join_unique
 from emberline.plans.scratch import materialize, scratch_dir
 
 #: Chunks that a worker's memo holds before it starts anew.
@@ -63,6 +64,17 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
     return [sum(map(memo.__getitem__, c)) for c in chunks]
 
 
+def check_splits(path: str) -> None:
+    """ValueError unless a tokenizer's pieces never hold white space and don't depend on it."""
+    if not path.endswith(".json"):
+        raise ValueError(f"{path}: only tokenizers whose pieces end at white space can be counted by chunks")
+    tok, _ = _counter(path)
+    for a, b in (("ab", "cd"), ("it's", "<|x|>"), ("é.", "1,2"), ("x", "(y")):
+        parts = [len(tok.encode(t, add_special_tokens=False)) for t in (a, b)]
+        if any(len(tok.encode(a + gap + b, add_special_tokens=False)) != sum(parts) for gap in (" ", "\n", "\t  ")):
+            raise ValueError(f"{path}: the pieces of this tokenizer depend on white space, which counting by chunks doesn't know")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offs in K.text_slices(batch, "text"):
@@ -109,10 +121,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
 
     cache_dir is a Parquet table of counts in a folder that all executors
     share; None takes a new, empty one in the scratch folder.  Counts found
-    there aren't computed again.  A null or empty text has 0 bytes and 0 tokens.
+    there aren't computed again.  tokenizer: the file of a tokenizer that drops
+    white space and never joins across it, else a ValueError, as counts are
+    added up by white-space chunks.  A null or empty text has 0 bytes and 0 tokens.
     Repeated rows and ids each give a row.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    check_splits(tokenizer)
     cache_dir = cache_dir or f"{scratch_dir(spark)}/emberline/token-cache-{uuid.uuid4().hex}"
     version = tokenizer_version(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -127,5 +142,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
         contents = contents.join(stored(), "digest", "left_anti")
     fresh = contents.select("digest", "content").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_dir)
-    out = keyed.join(stored(), "digest")
+    # a content that very many rows have is sent to them
+    out = join_unique(keyed, stored(), "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -46,6 +46,31 @@ def shingles(t, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+@pytest.mark.parametrize("percent", [50, 65, 95])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    rng = np.random.default_rng(percent)
+    texts = []
+    for i in range(60):  # pairs whose similarity is a little above or below the threshold
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        for off in (0.5, 2.0):
+            same = int(296 * 2 * (percent + off * (-1) ** i) / (100 + percent + off * (-1) ** i))
+            texts.append(" ".join(a))
+            texts.append(" ".join(a[: same + 4] + [f"v{x}" for x in rng.integers(0, 10**6, 296 - same)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df, percent=percent).collect()}
+    sets = [shingles(t) for t in texts]
+    for i in range(0, len(texts), 4):
+        root = i
+        for j in range(i + 1, i + 4):
+            want = next((k for k in range(i, j) if 100 * len(sets[k] & sets[j]) >= percent * len(sets[k] | sets[j])), j)
+            assert got[j] == (got[want] if want != j else j), (root, j)
+
+
+def test_thresholds_the_trees_are_too_few_for():
+    with pytest.raises(ValueError):
+        minhash_forest.least_prefix(30)
+
+
 def test_near_duplicates(docs, nothing):
     got = minhash_forest.near_duplicates(docs, percent=85).collect()
     assert len(got) == len(ROWS)
@@ -125,6 +150,14 @@ def test_token_counts(docs, nothing, tmp_path):
     assert token_cache.token_counts(nothing, path).count() == 0
 
 
+def test_other_tokenizers_are_refused(docs):
+    import public_tokenizers
+
+    for name in ("piece_bpe_32k.model", "byte_bpe_50k.json"):
+        with pytest.raises(ValueError):
+            token_cache.token_counts(docs, public_tokenizers.path(name))
+
+
 def test_token_counts_of_chunks_add_up():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -157,10 +190,22 @@ def test_contamination(spark, docs, nothing):
         want[(k, len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))] += 1
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert collections.Counter(tuple(r) for r in positional_index.contamination(docs, bench).collect()) == want
+    twice = positional_index.contamination(docs.unionByName(docs.filter("doc_id = 10")), bench)
+    assert twice.exceptAll(positional_index.contamination(docs, bench)).count() == 1 and twice.filter("doc_id = 10").distinct().count() == 1
     assert positional_index.contamination(nothing, bench).count() == 0
     assert positional_index.contamination(docs, bench.filter("false")).filter("n_hit > 0").count() == 0
 
 
+def test_index_with_terms_too_many_to_send(spark, docs, monkeypatch):
+    item = " ".join(BASE.split()[20:50])
+    bench = spark.createDataFrame([(1, item), (2, "few words"), (3, text(12, 60))], "item_id long, text string")
+    want = sorted(map(str, positional_index.contamination(docs, bench).collect()))
+    monkeypatch.setattr(positional_index, "SENT_ROWS", 0)
+    monkeypatch.setattr(positional_index._sent, "__defaults__", (0,))
+    monkeypatch.setattr(positional_index.build_index, "__defaults__", (0,))
+    assert sorted(map(str, positional_index.contamination(docs, bench).collect())) == want
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a b c a"), (2, "b x x x a"), (3, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in positional_index.proximity_matches(df, "a", "b", 2).collect()) == [(1, 0, 1), (1, 3, 1)]
@@ -203,6 +248,17 @@ def test_shards(docs, nothing):
     assert hash_tree.shard_rows(nothing).count() == 0
 
 
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(hash_tree, "PIECE", 7)
+    df = spark.range(200).selectExpr("CASE WHEN id < 100 THEN 5 ELSE id END AS doc_id", "CASE WHEN id < 90 THEN 'same' ELSE concat('t', id) END AS text")
+    got = hash_tree.shard_rows(df).collect()
+    assert len(got) == 200 and sum(r.doc_id == 5 for r in got) == 100
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    of_same = sorted(r.slot for r in got if r.doc_id == 5 and r.size == 5)
+    assert len(of_same) == 90 and of_same == list(range(of_same[0], of_same[0] + 90))
+
+
 def test_shards_are_even_and_move_little(spark):
     df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = hash_tree.shard_rows(df).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("slots"), F.sum((F.col("grown_shard") == 8).cast("int")).alias("moved")).collect()
