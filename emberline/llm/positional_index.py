@@ -73,18 +73,16 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & a["h"].eqNullSafe(b["h"])
 
 
-def _having(starts: DataFrame, terms: DataFrame, index: DataFrame, few: bool) -> DataFrame:
+def _having(starts: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
     """The starts at which all `terms` of their phrase stand in the index.
 
     starts: doc_id, h, phrase, start; terms: phrase, o (place in it), term.  A
-    phrase without any of the terms keeps its starts.  few: whether the starts
-    may go to all tasks where their number allows it; those of the rarest terms
-    grow with the corpus, so they meet the lists in a shuffle at every size.
+    phrase without any of the terms keeps its starts.  Starts grow with
+    the corpus, so they meet the lists in a shuffle at every size.
     """
     starts = materialize(starts, "index-starts")
     need = starts.join(_sent(terms), "phrase").select(*_DOC, "phrase", "start", (F.col("start") + F.col("o")).alias("pos"), "term")
-    need = materialize(need, "index-needed")
-    need = _sent(need) if few else need.hint("merge")
+    need = materialize(need, "index-needed").hint("merge")
     lists = index.join(_sent(materialize(terms.select("term").distinct(), "index-terms")), "term", "left_semi")
     met = need.join(lists, _same_doc(need, lists) & (need["pos"] == lists["pos"]) & (need["term"] == lists["term"]))
     # rows that repeat id and text have each posting more than once
@@ -108,8 +106,8 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     part = lambda cond: materialize(ranked.filter(cond).select("phrase", "o", "term", "length"), "index-ranked")
     rarest, next_, others = part("rank = 1"), part("rank = 2"), part("rank > 2")
     starts = index.join(_sent(rarest), "term").select(*_DOC, "phrase", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0").distinct()
-    for terms, few in ((next_, False), (others, True)):
-        starts = _having(starts, terms.select("phrase", "o", "term"), index, few)
+    for terms in (next_, others):
+        starts = _having(starts, terms.select("phrase", "o", "term"), index)
     return materialize(starts.join(_sent(rarest.select("phrase", "length")), "phrase"), "index-matches")
 
 
