@@ -1,16 +1,19 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  Classes come from exchange
-clustering over corpus-wide bigram counts: each unit moves to the class that
-raises the likelihood most, until a round moves few.  Units are the most
-frequent words and, for all other words, their endings; a word below the
-frequent ones has the class of its ending and its own share of the ending's
-emissions.  An unseen word has the ending's share of unseen words, estimated
-from the words seen once.
+clustering over corpus-wide bigram counts, in two parts.  The most frequent words
+and, for all other words, their endings are units that move one at a time to the
+class that raises the likelihood most, until a round moves few.  Then every other
+word seen ``LEAST`` times or more, however many there are, leaves its ending for
+the class that raises the likelihood most, all at once in a distributed round
+over their counts of the classes before and after.  Only rarer words stay with
+their ending and share its emissions; an unseen word has the ending's share of
+unseen words, estimated from the words seen once.
 
 All counts are over the whole training part.  The tables sent to every task
-have fixed sizes (``LISTED`` words, the units, the classes); counts of the other
-words, of which there is no bound, are looked up by a join.
+have fixed sizes (``LISTED`` words, the units, the classes); classes and counts
+of the other words, of which there is no bound, are looked up by a join.  As the
+word before, such a word stands for its ending's class.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from emberline.plans.scratch import materialize
 
 #: Words whose counts every task holds; words that are units; units for endings; classes.
 LISTED, UNITS, ENDINGS, CLASSES = 1 << 17, 2048, 256, 64
+#: Occurrences from which on a word has a class of its own, not that of its ending.
+LEAST = 5
 ROUNDS = 6
 #: Tokens that a task counts before it passes the counts on.
 FLUSH = 1 << 21
@@ -83,20 +88,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Units:
-    """The frequent words: sorted hashes, their counts, and their unit (0: none)."""
+    """The frequent words: sorted hashes, their counts, their unit (0: none) and the class of those that left their ending (-1: none)."""
 
     words: np.ndarray
     counts: np.ndarray
     unit: np.ndarray
+    cls: np.ndarray
 
-    def of(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, count, listed) of tokens; the end is unit 0."""
+    def of(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, count, listed, class or -1) of tokens; the end is unit 0."""
         if not len(self.words):
-            return np.where(h == END, 0, ending), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            none = np.full(len(h), -1)
+            return np.where(h == END, 0, ending), np.zeros(len(h), np.int64), none >= 0, none
         i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         listed = self.words[i] == h
         unit = np.where(listed & (self.unit[i] > 0), self.unit[i], ending)
-        return np.where(h == END, 0, unit), np.where(listed, self.counts[i], 0), listed
+        return np.where(h == END, 0, unit), np.where(listed, self.counts[i], 0), listed, np.where(listed, self.cls[i], -1)
 
 
 def _count_pairs(units: Units):
@@ -113,7 +120,7 @@ def _count_pairs(units: Units):
         for batch in batches:
             for _, _, buf, offs in K.text_slices(batch, "text"):
                 h, ending, _ = _tokens(buf, offs)
-                u, _, _ = units.of(h, ending)
+                u, _, _, _ = units.of(h, ending)
                 before = np.r_[0, u[:-1]]  # an end is always the last of its document
                 held.append(before * _ALL + u)
                 size += len(u)
@@ -185,44 +192,140 @@ def exchange_clustering(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -
     return cls
 
 
+def _count_neighbours(units: Units, cls: np.ndarray, rest: bool):
+    """Partial counts (word, code, n) of the classes next to the words that aren't units.
+
+    code is the class before, or CLASSES and the class after.  Listed words below
+    LEAST are left out, and with rest = False all that aren't listed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            key, n = np.unique(at * (2 * CLASSES) + np.concatenate([x for _, x in held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words[key // (2 * CLASSES)]), pa.array((key % (2 * CLASSES)).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "code", "n"])
+
+        for batch in batches:
+            for _, _, buf, offs in K.text_slices(batch, "text"):
+                h, ending, _ = _tokens(buf, offs)
+                u, n, listed, _ = units.of(h, ending)
+                k = cls[u]
+                at = np.flatnonzero((u > UNITS) & np.where(listed, n >= LEAST, rest))  # never an end, so a token follows
+                if not len(at):
+                    continue
+                before = np.where(at > 0, k[np.maximum(at, 1) - 1], 0)
+                held.append((np.r_[h[at], h[at]], np.r_[before, CLASSES + k[at + 1]]))
+                size += 2 * len(at)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _move(joint: np.ndarray, cls: np.ndarray):
+    """(word, n, cls): the class of each word that raises the likelihood most, against the counts before the round."""
+    near = np.vstack([joint, joint.T]).astype(np.float64)
+    ahead, behind = joint.sum(0).astype(np.float64), joint.sum(1).astype(np.float64)
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+
+    def change(x: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What adding n to each cell gains; in the word's present class, where n is already in, what n holds there."""
+        out = f(x + n[:, None]) - f(x)
+        i = np.arange(len(n))
+        out[i, at] = f(x[i, at]) - f(np.maximum(0.0, x[i, at] - n))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 1000):
+                batch = whole.slice(a, 1000)
+                lists = batch.column("near")
+                first = np.diff(lists.offsets.to_numpy(), prepend=0)[1:]
+                flat = lists.flatten()
+                code, n = flat.field("code").to_numpy(), flat.field("n").to_numpy().astype(np.float64)
+                of = np.repeat(np.arange(len(batch)), first)
+                own = cls[batch.column("ending").to_numpy()]
+                seen = batch.column("n").to_numpy().astype(np.float64)
+                gain = np.zeros((len(batch), CLASSES))
+                begins = np.r_[0, np.cumsum(first)[:-1]]
+                gain += np.add.reduceat(change(near[code], n, own[of]), begins, axis=0)
+                for side in (ahead, behind):
+                    gain -= change(np.tile(side, (len(batch), 1)), seen, own)
+                gain[:, 0] = -np.inf
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(gain.argmax(1).astype(np.int32))], ["word", "cls"])
+
+    return run
+
+
+def _count_steps(units: Units, cls: np.ndarray):
+    """Partial counts (word, step, n) of class bigrams; word is null but for words that aren't listed, which have their ending's class here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offs in K.text_slices(batch, "text"):
+                h, ending, _ = _tokens(buf, offs)
+                u, _, listed, own = units.of(h, ending)
+                k = np.where(own >= 0, own, cls[u])
+                step = np.r_[0, k[:-1]] * CLASSES + k
+                open_ = ~listed & (u > 0)
+                key, n = np.unique(step[~open_], return_counts=True)
+                words, at = np.unique(h[open_], return_inverse=True)
+                more, m = np.unique(at * CLASSES**2 + step[open_], return_counts=True)
+                word = pa.concat_arrays([pa.nulls(len(key), pa.int64()), pa.array(words[more // CLASSES**2], pa.int64())])
+                yield pa.RecordBatch.from_arrays([word, pa.array(np.r_[key, more % CLASSES**2].astype(np.int32)), pa.array(np.r_[n, m].astype(np.int64))], ["word", "step", "n"])
+
+    return run
+
+
 @dataclass
 class Model:
     units: Units
     cls: np.ndarray  # unit to class
     step: np.ndarray  # log10 P(class | class before)
-    emit: np.ndarray  # log10 P(unit | class)
-    mass: np.ndarray  # tokens of each unit
+    scale: np.ndarray  # log10 of the tokens of each class, with those added for its endings
+    emit: np.ndarray  # log10 P(ending | class), by unit
+    mass: np.ndarray  # tokens of the words that stay with each ending
     unseen: np.ndarray  # share of unseen words in an ending's tokens
     total: int
     types: int
 
 
 def _score(m: Model):
-    """Per row: tokens, known ones, both scores without the words that aren't listed, and those words."""
+    """Per row: tokens, known ones, both scores without the words that aren't listed, and those words by the class before them."""
     base_unit = 0.5 * (m.types + 1) + m.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offs in K.text_slices(batch, "text"):
                 h, ending, at = _tokens(buf, offs)
-                u, c, listed = m.units.of(h, ending)
-                k = m.cls[u]
+                u, c, listed, own = m.units.of(h, ending)
+                k = np.where(own >= 0, own, m.cls[u])
                 prev = np.r_[0, k[:-1]]
-                s = m.step[prev, k] + m.emit[u]
-                rest = u > UNITS
-                inside = rest & listed
-                s[inside] += np.log10((1 - m.unseen[u[inside]]) * c[inside] / np.maximum(1.0, m.mass[u[inside]]))
+                s = m.step[prev, k]
+                alone = listed & (u > 0) & ((u <= UNITS) | (own >= 0))
+                s[alone] += np.log10(c[alone]) - m.scale[k[alone]]
+                inside = listed & (u > 0) & ~alone
+                s[inside] += m.emit[u[inside]] + np.log10((1 - m.unseen[u[inside]]) * c[inside] / m.mass[u[inside]])
                 base = np.where(listed, np.log10((c + 0.5) / base_unit), 0.0)
                 n = np.diff(at)
-                open_ = np.flatnonzero(~listed)
+                open_ = np.flatnonzero(~listed & (u > 0))
+                s[open_] = 0.0
+                base[(u == 0) & ~listed] = np.log10(0.5 / base_unit)
                 doc = np.repeat(np.arange(b - a), n)[open_]
-                order = np.lexsort((h[open_], doc))
-                doc, word, unit = doc[order], h[open_][order], u[open_][order]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else doc
+                order = np.lexsort((prev[open_], h[open_], doc))
+                doc, word, unit, left = doc[order], h[open_][order], u[open_][order], prev[open_][order]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]) | (left[1:] != left[:-1])]) if len(doc) else doc
                 times = np.diff(np.r_[first, len(doc)])
                 offsets = np.searchsorted(doc[first], np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(word[first]), pa.array(unit[first].astype(np.int32)), pa.array(times.astype(np.int32))], ["word", "unit", "times"])
+                    pa.array(offsets, pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(word[first]), *(pa.array(x.astype(np.int32)) for x in (unit[first], left[first], times))], ["word", "unit", "prev", "times"]),
                 )
                 sums = lambda x: np.add.reduceat(x, at[:-1]) if b > a else x
                 yield pa.RecordBatch.from_arrays(
@@ -233,14 +336,15 @@ def _score(m: Model):
     return run
 
 
-def _fit(train: DataFrame, vocabulary: DataFrame) -> Model:
+def _fit(train: DataFrame, vocabulary: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and (word, cls) of all words that left their ending."""
     total, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = vocabulary.orderBy(F.desc("n"), "word").limit(LISTED).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, counts, ends = (top.column(c).to_numpy() for c in ("word", "n", "ending"))
     rank = np.arange(len(words)) - (np.cumsum(words == END) > 0) + 1  # the end isn't a word
     unit = np.where((rank <= UNITS) & (words != END), rank, 0)
     order = np.argsort(words)
-    units = Units(words[order], counts[order], unit[order])
+    units = Units(words[order], counts[order], unit[order], np.full(len(words), -1))
 
     pairs = np.zeros(_ALL * _ALL, np.int64)
     table = train.mapInArrow(_count_pairs(units), "pair int, n long").groupBy("pair").agg(F.sum("n").cast("long").alias("n"))
@@ -248,22 +352,42 @@ def _fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     pairs[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     pairs = pairs.reshape(_ALL, _ALL)
     cls = exchange_clustering(pairs, CLASSES)
-
-    mass = pairs.sum(0).astype(np.float64)
-    once = np.zeros(_ALL)
-    for r in vocabulary.filter("n = 1").groupBy("ending").agg(F.count("*").alias("k")).collect():
-        once[r.ending] = r.k
-    for e, c in zip(ends[unit > 0], counts[unit > 0], strict=True):
-        once[e] -= c == 1
-    unseen = np.clip((once + 0.1) / (mass + 1.0), 1e-6, 0.9)
     own = np.zeros((_ALL, CLASSES))
     own[np.arange(_ALL), cls] = 1
-    joint = own.T @ pairs @ own
-    size, members = joint.sum(0), own.sum(0)
+
+    # no word outside the list is as frequent as LEAST if one in it isn't
+    rest = bool(types > len(words) and counts.min() >= LEAST)
+    near = train.mapInArrow(_count_neighbours(units, cls, rest), "word long, code int, n long").groupBy("word", "code").agg(F.sum("n").cast("long").alias("n"))
+    near = near.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near"))  # at most 2 * CLASSES
+    near = near.join(vocabulary.filter(F.col("n") >= LEAST), "word").select("word", "n", "ending", "near")
+    classes = materialize(near.mapInArrow(_move(own.T @ pairs @ own, cls), "word long, cls int"), "lm-classes")
+
+    if len(words):
+        # joined by value: the listed words are a table of fixed size
+        mine = classes.join(F.broadcast(train.sparkSession.createDataFrame(pa.table({"word": units.words}))), "word").toArrow()
+        units.cls[np.searchsorted(units.words, mine.column("word").to_numpy())] = mine.column("cls").to_numpy()
+    counted = train.mapInArrow(_count_steps(units, cls), "word long, step int, n long").groupBy("word", "step").agg(F.sum("n").cast("long").alias("n"))
+    if rest:
+        left = F.col("step") - F.pmod("step", F.lit(CLASSES))
+        counted = counted.join(classes, "word", "left").select(F.when(F.col("cls").isNull(), F.col("step")).otherwise(left + F.col("cls")).alias("step"), "n")
+    joint = np.zeros(CLASSES * CLASSES)
+    for r in materialize(counted.groupBy("step").agg(F.sum("n").cast("long").alias("n")), "lm-steps").collect():
+        joint[r.step] = r.n
+    joint = joint.reshape(CLASSES, CLASSES)
+
+    mass, once = np.zeros(_ALL), np.zeros(_ALL)
+    for r in vocabulary.filter(F.col("n") < LEAST).groupBy("ending").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("int")).alias("k")).collect():
+        mass[r.ending], once[r.ending] = r.n, r.k
+    few = (unit > 0) & (counts < LEAST)
+    np.subtract.at(mass, ends[few], counts[few])
+    np.subtract.at(once, ends[few], counts[few] == 1)
+    unseen = np.clip((once + 0.1) / (mass + 1.0), 1e-6, 0.9)
+    size = joint.sum(0)
     share = (size + 0.5) / (size + 0.5).sum()
     step = np.log10((joint + 1.0 * share[None, :]) / (joint.sum(1) + 1.0)[:, None])
-    emit = np.log10((mass + 0.1) / (size + 0.1 * members)[cls])
-    return Model(units, cls, step, emit, mass, unseen, int(total), int(types))
+    scale = np.log10(np.maximum(size + 0.1 * np.bincount(cls[1 + UNITS :], minlength=CLASSES), 1e-300))
+    emit = np.log10(mass + 0.1) - scale[cls]
+    return Model(units, cls, step, scale, emit, np.maximum(1.0, mass), unseen, int(total), int(types)), classes
 
 
 def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +395,10 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows whose crc32(id as text) modulo 5 is 1 are held out; the model and the
     base counts are of the others.  A null or empty text is one token, the end.
-    base_score is the smoothed unigram log10 probability, score the model's.
+    base_score is the smoothed unigram log10 probability, score the model's; in
+    both, unseen words are one symbol (here: one for each ending), over which and
+    the seen words the probabilities after any word add up to one.  A text of any
+    length is read whole, in one task; other columns of docs are ignored.
     Repeated rows count and are scored each; a null id is the empty string's.
     Without training rows every token is unseen.
     """
@@ -280,17 +407,20 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     train = rows.filter("not held_out").select("text")
     vocabulary = train.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").cast("long").alias("n"))
     vocabulary = materialize(vocabulary, "lm-words")
-    m = _fit(train, vocabulary)
+    m, classes = _fit(train, vocabulary)
 
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, open array<struct<word: bigint, unit: int, times: int>>"
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, open array<struct<word: bigint, unit: int, prev: int, times: int>>"
     scored = materialize(rows.mapInArrow(_score(m), kinds).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    opened = scored.select("row", F.explode("open").alias("o")).select("row", "o.word", "o.unit", "o.times")
-    unit_table = docs.sparkSession.createDataFrame([(int(u), float(max(1.0, m.mass[u])), float(m.unseen[u])) for u in range(1 + UNITS, _ALL)] + [(0, 1.0, 0.5)], "unit int, mass double, unseen double")
-    rare = vocabulary.select("word", "n")
-    found = opened.join(rare, "word", "left").join(F.broadcast(unit_table), "unit")
+    opened = scored.select("row", F.explode("open").alias("o")).select("row", "o.word", "o.unit", "o.prev", "o.times")
+    spark = docs.sparkSession
+    endings = spark.createDataFrame([(int(u), int(m.cls[u]), float(m.emit[u]), float(m.mass[u]), float(m.unseen[u])) for u in range(1 + UNITS, _ALL)], "unit int, home int, emit double, mass double, unseen double")
+    steps = spark.createDataFrame([(c, k, float(m.step[c, k]), float(m.scale[k])) for c in range(CLASSES) for k in range(CLASSES)], "prev int, cls int, step double, scale double")
+    rare = vocabulary.select("word", "n").join(classes, "word", "left")
+    found = opened.join(rare, "word", "left").join(F.broadcast(endings), "unit").withColumn("left", F.col("cls").isNull()).withColumn("cls", F.coalesce("cls", "home")).join(F.broadcast(steps), ["prev", "cls"])
     n = F.coalesce("n", F.lit(0))
     whole = float(m.total + 0.5 * (m.types + 1))
-    own = F.when(n > 0, F.log10((1 - F.col("unseen")) * n / F.col("mass"))).otherwise(F.log10("unseen"))
+    with_ending = F.col("emit") + F.when(n > 0, F.log10((1 - F.col("unseen")) * n / F.col("mass"))).otherwise(F.log10("unseen"))
+    own = F.col("step") + F.when(F.col("left"), with_ending).otherwise(F.log10(n) - F.col("scale"))
     extra = found.groupBy("row").agg(F.sum(F.col("times") * own).alias("own"), F.sum(F.col("times") * F.log10((n + 0.5) / whole)).alias("base_more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known_more"))
     out = scored.drop("open").join(extra, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
