@@ -6,7 +6,7 @@ removed.  Each window of WIDTH bytes has an anchor, the smallest hash among its
 So only suffixes that start at anchors are considered, and of those only the
 ones whose first GRAM bytes start elsewhere too (the duplicate detection of
 prefix-doubling string sorting).  An anchor whose whole surroundings repeat is
-decided by that; the others, near the ends of repeated passages, are sorted:
+decided by that (by 128-bit digests of the surroundings); the others, near the ends of repeated passages, are sorted:
 every task sorts its suffixes into runs, front-codes them (length of the prefix
 shared with the one before, then the rest), and sends each run to the task that
 has its suffixes' first GRAM bytes; there a loser tree merges the runs and never compares a prefix
@@ -51,14 +51,19 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, first, last, gram hash, surroundings hash) of every anchor of the documents in buf.
+def _digest(raw: bytes, place: int = 0) -> bytes:
+    """128 bits that stand for the bytes and a place in them; no two of 10^12 strings are expected to share them."""
+    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(4, "little")).digest()
+
+
+def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(document, place, first, last, gram hash, digest of the surroundings) of every anchor of the documents in buf.
 
     The windows that start at first..last have the anchor; all are places in the document.
     """
     none = np.zeros(0, np.int64)
     if len(buf) < WIDTH:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), []
     prefix = K.prefix_hash(buf)
     at = np.arange(len(buf) - GRAM + 1)
     gram = K.span_hash(prefix, at, at + GRAM)
@@ -71,7 +76,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)] if len(start) else np.zeros(0, bool)
     i = np.flatnonzero(new)
     first, last, place = start[i], start[np.r_[i[1:], len(start)] - 1] if len(i) else start[i], a[i]
-    around = K.mix(K.span_hash(prefix, first, last + WIDTH) + (place - first).astype(np.uint64))
+    raw = buf.tobytes()
+    around = [_digest(raw[x:y], p) for x, y, p in zip(first.tolist(), (last + WIDTH).tolist(), (place - first).tolist(), strict=True)]
     d = doc[first] if len(i) else none
     base = offs[:-1][d]
     return d, place - base, first - base, last - base, gram[place], around
@@ -88,9 +94,9 @@ def _parts(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.nda
             yield a, 0, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
-def _class_of(raw: bytes) -> int:
-    """64 bits of a digest of the bytes, as a signed number."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _class_of(raw: bytes) -> bytes:
+    """What stands for equal texts."""
+    return _digest(raw)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +105,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = buf.tobytes()
             each = [raw[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([_class_of(x) for x in each], pa.int64()), pa.array(np.diff(offs)), pa.array([hashlib.sha256(x).hexdigest() for x in each])],
+                [batch.column(0).slice(a, b - a), pa.array([_class_of(x) for x in each], pa.binary()), pa.array(np.diff(offs)), pa.array([hashlib.sha256(x).hexdigest() for x in each])],
                 ["doc_id", "class", "n_bytes", "whole_sha256"],
             )
 
@@ -108,14 +114,16 @@ def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of the texts; of texts that stand in a batch more than once, only the first's."""
     for batch in batches:
         buf, offs = K.column_bytes(batch.column(0))
-        classes = np.array([_class_of(buf[offs[i] : offs[i + 1]].tobytes()) for i in range(batch.num_rows)], np.int64)
+        classes = [_class_of(buf[offs[i] : offs[i + 1]].tobytes()) for i in range(batch.num_rows)]
         first = np.zeros(len(classes), bool)
-        first[np.unique(classes, return_index=True)[1]] = True
+        first[list({c: i for i, c in reversed(list(enumerate(classes)))}.values())] = True
+        classes = pa.array(classes, pa.binary())
         for a, s, own, at in _parts(buf, offs):
             d, place, lo, hi, gram, around = anchors(own, at)
             keep = first[a + d]
-            cols = (classes[a + d], place + s, lo + s, hi + s)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c[keep].astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int32), strict=True)], pa.array(gram[keep].view(np.int64)), pa.array(around[keep].view(np.int64))], ["class", "place", "lo", "hi", "gram", "around"])
+            spots = [pa.array((x[keep] + s).astype(np.int32)) for x in (place, lo, hi)]
+            near = pa.array(around, pa.binary()).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(a + d[keep])), *spots, pa.array(gram[keep].view(np.int64)), near], ["class", "place", "lo", "hi", "gram", "around"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +134,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in zip(offs[:-1], offs[1:], strict=True):
                 if e - s >= WIDTH:
                     found.setdefault(_class_of(raw[s:e]), raw[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack.compress(x) for x in found.values()], pa.binary())], ["class", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([pack.compress(x) for x in found.values()], pa.binary())], ["class", "packed"])
 
 
 # --- sorted runs ---------------------------------------------------------------
@@ -222,11 +230,11 @@ class LoserTree:
 
 
 #: Class, gram, place, lo, hi, shared prefix, length of the rest, length of what precedes the anchor.
-_HEAD = "<qqiiiHHH"
+_HEAD = "<16sqiiiHHH"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, tuple[int, int, int, int, int]]]:
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, tuple[bytes, int, int, int, int]]]:
     """(suffix from the anchor, what precedes it, (class, gram, place, lo, hi)) of the asked anchors of packed texts."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -303,6 +311,7 @@ def _merge(table: pa.Table) -> pa.Table:
     """Ranges of the repeated windows of one key range."""
     runs = [_decode(x) for x in table.column("run").to_pylist()]
     cls_out, s_out, e_out = [], [], []
+    codes: dict[bytes, int] = {}
 
     def close(held: list) -> None:
         if len(held) < 2:
@@ -310,7 +319,7 @@ def _merge(table: pa.Table) -> pa.Table:
         lcp = np.array([x[0] for x in held])
         lcp[0] = 0
         right = np.array([x[1] for x in held])
-        info = np.array([x[3:] for x in held], np.int64)  # class, place, lo, hi
+        info = np.array([(codes.setdefault(x[3], len(codes)), *x[4:]) for x in held], np.int64)  # class, place, lo, hi
         left = np.zeros((len(held), SPAN - 1), np.uint8)
         for i, x in enumerate(held):
             if x[2]:
@@ -339,16 +348,16 @@ def _merge(table: pa.Table) -> pa.Table:
         new = np.r_[True, (cls[1:] != cls[:-1]) | (s[1:] > e[:-1])]
         i = np.flatnonzero(new)
         cls, s, e = cls[i], s[i], np.maximum.reduceat(e, i)
-    return pa.table({"class": pa.array(cls), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+    return pa.table({"class": pa.array(list(codes), pa.binary()).take(pa.array(cls)), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash for each window of the asked anchors, for groups too large for one merge."""
+    """Two hashes for each window of the asked anchors, for groups too large for one merge."""
     for s, left, (cls, _, place, lo, hi) in _suffixes(batches):
         buf = np.frombuffer(left + s, np.uint8)
         at = np.arange(hi - lo + 1)
-        h = K.mix(K.span_hash(K.prefix_hash(buf), at, at + WIDTH) + (place - lo - at).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), cls)), pa.array((lo + at).astype(np.int32))], ["window", "class", "s"])
+        halves = [K.mix(K.span_hash(K.prefix_hash(buf, other), at, at + WIDTH) + (place - lo - at).astype(np.uint64)) for other in (False, True)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(h.view(np.int64)) for h in halves], pa.array([cls] * len(at), pa.binary()), pa.array((lo + at).astype(np.int32))], ["window", "window_b", "class", "s"])
 
 
 # --- removal -------------------------------------------------------------------
@@ -384,14 +393,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of 200 bytes that covers it also starts
     anywhere else, in the same or another row; strings never cross rows.  A null
     text is empty.  Of rows with equal texts of 200 bytes or more nothing is
-    left.  Repeated ids each give a row.  Other columns are ignored.
+    left.  Texts and surroundings are taken as equal if their 128-bit digests are.
+    Repeated ids each give a row.  Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = materialize(rows.mapInArrow(_summaries, "doc_id long, class long, n_bytes long, whole_sha256 string"), "suffix-summaries")
+    base = materialize(rows.mapInArrow(_summaries, "doc_id long, class binary, n_bytes long, whole_sha256 string"), "suffix-summaries")
     copies = base.groupBy("class").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("size")).filter(f"size >= {WIDTH}")
 
-    found = rows.select("text").mapInArrow(_anchors_of, "class long, place int, lo int, hi int, gram long, around long")
+    found = rows.select("text").mapInArrow(_anchors_of, "class binary, place int, lo int, hi int, gram long, around binary")
     spot = F.xxhash64("class", "place")
     # written first, so that the join with it can split the rows of a very common gram
     grams = materialize(found.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("gram"), "suffix-grams")
@@ -408,20 +418,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = F.col("entries") <= GROUP
     lists = asked.groupBy("class").agg(F.collect_list(F.when(small, item)).alias("asked"), F.collect_list(F.when(~small, item)).alias("large"))
     need = anchor.select("class").distinct().join(lists, "class", "left")
-    texts = rows.select("text").mapInArrow(_packed, "class long, packed binary").groupBy("class").agg(F.first("packed").alias("packed"))
+    texts = rows.select("text").mapInArrow(_packed, "class binary, packed binary").groupBy("class").agg(F.first("packed").alias("packed"))
     texts = materialize(texts.join(need, "class").select("class", "packed", "asked", "large"), "suffix-texts")
 
     total = texts.agg(F.sum(F.size("asked"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 50_000)
     runs = texts.filter("size(asked) > 0").select("class", "packed", "asked").mapInArrow(_runs(parts), "part int, run binary")
-    merged = runs.groupBy("part").applyInArrow(_merge, "class long, s int, e int")
-    hashed = texts.filter("size(large) > 0").select("class", "packed", "large").mapInArrow(_windows_of, "window long, class long, s int")
-    twice = hashed.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
-    single = hashed.join(twice, "window").select("class", "s", (F.col("s") + WIDTH).alias("e"))
+    merged = runs.groupBy("part").applyInArrow(_merge, "class binary, s int, e int")
+    hashed = texts.filter("size(large) > 0").select("class", "packed", "large").mapInArrow(_windows_of, "window long, window_b long, class binary, s int")
+    twice = hashed.groupBy("window", "window_b").agg(F.count("*").alias("n")).filter("n > 1")
+    single = hashed.join(twice, ["window", "window_b"]).select("class", "s", (F.col("s") + WIDTH).alias("e"))
     decided = anchor.filter("whole").select("class", F.col("lo").alias("s"), (F.col("hi") + WIDTH).alias("e"))
     ranges = decided.unionAll(merged).unionAll(single).groupBy("class").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     cut = texts.select("class", "packed").join(ranges, "class").select("class", "packed", "ranges")
-    cut = materialize(cut.mapInArrow(_cut, "class long, n_removed long, n_spans long, kept_sha256 string"), "suffix-cut")
+    cut = materialize(cut.mapInArrow(_cut, "class binary, n_removed long, n_spans long, kept_sha256 string"), "suffix-cut")
 
     repeated = copies.filter("copies > 1").select("class", F.lit(True).alias("gone"))
     out = base.join(repeated, "class", "left").join(cut, "class", "left")

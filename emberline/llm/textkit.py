@@ -18,6 +18,8 @@ SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+#: A second map of bytes, where 64 bits are too few to stand for a string.
+_BYTE_B = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 2**64)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
@@ -54,11 +56,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums P with hash(buf[s:e]) = mix((P[e]-P[s]) * base^-s)."""
+def prefix_hash(buf: np.ndarray, other: bool = False) -> np.ndarray:
+    """Prefix sums P with hash(buf[s:e]) = mix((P[e]-P[s]) * base^-s); `other` takes the second map of bytes."""
     p, _ = _powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * p[: len(buf)], out=out[1:])
+    np.cumsum((_BYTE_B if other else _BYTE)[buf] * p[: len(buf)], out=out[1:])
     return out
 
 
