@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
+from emberline.llm.numbering import Numbers
 from emberline.operators.components import connected_components
 from emberline.operators.skew import join_unique
 from emberline.plans.scratch import discard, materialize
@@ -370,9 +371,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = rows.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, signature binary")
     sketch = materialize(sketch, "minhash-sketch")
     # a class is one distinct set; all its rows have the same signature
-    number = F.xxhash64("digest")
-    one = sketch.filter("n_shingles > 0").groupBy(number.alias("class"), "digest").agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"))
+    one = sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"))
     one = materialize(one, "minhash-classes")
+    numbers = Numbers(one)
+    one = numbers.add(one)
 
     keys = one.select("class", "signature").mapInArrow(_grow, "class long, key binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -404,6 +406,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = materialize(member.join(smallest, "root").select("class", "component_id"), "minhash-components")
     # a set that very many rows have is sent to them
-    out = join_unique(sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, number).alias("class")), of_class, "class", "left")
+    out = join_unique(numbers.add(sketch).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")), of_class, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
