@@ -10,6 +10,7 @@ each; a block returns sums of links and a spanning forest, never all pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm import textkit as K
+from emberline.llm.numbering import Numbers
 from emberline.operators.components import connected_components
+from emberline.operators.skew import join_unique
 from emberline.plans.scratch import materialize
 
 #: Vectors that k-means is fitted on, at most about (a hash decides which).
@@ -31,7 +33,7 @@ ROUNDS = 8
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that can be compared: id, label, dimension, class, unit vector as bytes of doubles."""
+    """Rows that can be compared: id, label, dimension, digest of label and vector, unit vector as bytes of doubles."""
     for batch in batches:
         out: list[tuple] = []
         for vec_id, label, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -44,10 +46,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = x / top
             x /= np.sqrt(x @ x)
             raw = x.tobytes()
-            out.append((vec_id, label, len(x), K.hash_bytes(raw + label.encode()) - 2**63, raw))
+            out.append((vec_id, label, len(x), hashlib.blake2b(raw + label.encode(), digest_size=16).digest(), raw))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["vec_id", "label", "dim", "class", "unit"])
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["vec_id", "label", "dim", "digest", "unit"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -157,9 +159,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     Rows that repeat an id are vectors of their own that share the id.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = materialize(rows.mapInArrow(_units, "vec_id long, label string, dim int, class long, unit binary"), "vector-units")
-    classes = units.groupBy("class", "label", "dim").agg(F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+    units = materialize(rows.mapInArrow(_units, "vec_id long, label string, dim int, digest binary, unit binary"), "vector-units")
+    classes = units.groupBy("digest", "label", "dim").agg(F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = materialize(classes, "vector-classes")
+    numbers = Numbers(classes)
+    classes = numbers.add(classes)
 
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter(f"most > {CELL}").collect()
     centroids: dict[int, np.ndarray] = {}
@@ -191,7 +195,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     member = member.join(smallest, "root").join(direct, "class", "left")
     of_class = member.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # rows that can't be compared carry no class; an id may stand in rows of both kinds
-    compared = units.select("vec_id", "class").join(of_class, "class").select("vec_id", "n_links", "component_id")
+    # a vector that very many rows have is sent to them
+    compared = join_unique(numbers.add(units.select("vec_id", "digest")), materialize(of_class, "vector-components"), "class").select("vec_id", "n_links", "component_id")
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     alone = rows.filter(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = compared.unionByName(alone)
