@@ -1,4 +1,4 @@
-"""Numbers of 64 bits for 128-bit digests, no two digests with the same one."""
+"""Numbers of 64 bits for 128-bit digests, with those that would coincide hashed again."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ class Numbers:
     """Numbers of the digests of a stored table that has each digest once.
 
     A digest's number is 64 bits of it.  Where several digests have the same
-    ones, which some pairs among 10^10 do, all but the least are hashed again.
-    The table of those numbers, one or a few rows at any size, goes to all tasks.
+    ones, which some pairs among 10^10 do, all but the least are hashed again; that
+    a number so made is taken too is possible, but not expected (1 in 10^8 at 10^10).
+    The table of shared numbers, about n * n / 2^65 rows (3 at 10^10, 27,000 at
+    10^12), goes to all tasks.
     """
 
     def __init__(self, distinct: DataFrame):
