@@ -210,7 +210,7 @@ def p_run_tag(s, d):
 @query("SELECT det_id, floor(longitude)::INT AS x, floor(latitude)::INT AS y, floor(longitude) <> longitude AND floor(latitude) <> latitude AS in_strict FROM (SELECT det_id, round(longitude, 2) AS longitude, round(latitude, 2) AS latitude FROM det)")
 def j_tile_assignment(s, d):
     """The tile of a detection; by the strict rule one on a border has none."""
-    det = X.detections(s, d).withColumns({c: F.round(c, 2) for c in ("longitude", "latitude")})
+    det = X.detections(s, d).withColumns({c: scalar.round_scaled(F.col(c), 2) for c in ("longitude", "latitude")})
     at, strict = scalar.tile_of(F.col("longitude"), F.col("latitude")), scalar.tile_of(F.col("longitude"), F.col("latitude"), strict=True)
     return det.select("det_id", at["x"].alias("x"), at["y"].alias("y"), strict.isNotNull().alias("in_strict"))
 

@@ -35,3 +35,21 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in res.fetchall())
+
+
+def on_rows(spark, name, folder, **tables):
+    """What a query and its SQL give on tables of their own, as sorted rows."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"file://{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    found = QUERIES[name](spark, f"file://{folder}")
+    res = con.execute(ORACLES[name])
+    order = [[x[0] for x in res.description].index(c) for c in found.columns]
+    return sorted(tuple(map(plain, r)) for r in found.collect()), sorted(tuple(plain(r[i]) for i in order) for r in res.fetchall())
+
+
+def test_tiles_of_all_coordinates(spark, tmp_path):
+    events = spark.range(21 * 2099).selectExpr("id AS event_id", "id DIV 21 AS user_id", "TIMESTAMP '2020-01-01' AS ts", "'x' AS event_type")  # every offset with every coordinate
+    got, want = on_rows(spark, "j_tile_assignment", tmp_path, events=events)
+    assert len(got) == 21 * 2099 and got == want
