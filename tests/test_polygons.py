@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +62,14 @@ def test_on_dataframes(spark):
     assert G.rasterise(df, "a", Grid(0.0, 4.0, 1.0, 1.0, 4, 4), "center").count() == 15
     o = G.overlay(df, other, "a", "b").collect()
     assert len(o) == 1 and o[0].area_m2 == pytest.approx(G.geodesic_area(G.intersection([(BOX, [HOLE])], [(DIAMOND, [])])))
+
+
+def test_areas_far_from_the_origin():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x, y, w, h = (float(v) for v in (rng.uniform(-81, -60), rng.uniform(-20, 1), rng.uniform(0.002, 0.1), rng.uniform(0.002, 0.06)))
+        ring = DIAMOND * (w, h) + (x, y)
+        exact = [(Fraction(float(p)), Fraction(float(q))) for p, q in ring]
+        want = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(exact[:-1], exact[1:], strict=True))) / 2
+        assert abs(G.shoelace(ring)) == pytest.approx(float(want), rel=1e-14, abs=0)
+    assert G.shoelace(np.zeros((0, 2))) == 0

@@ -53,3 +53,12 @@ def test_tiles_of_all_coordinates(spark, tmp_path):
     events = spark.range(21 * 2099).selectExpr("id AS event_id", "id DIV 21 AS user_id", "TIMESTAMP '2020-01-01' AS ts", "'x' AS event_type")  # every offset with every coordinate
     got, want = on_rows(spark, "j_tile_assignment", tmp_path, events=events)
     assert len(got) == 21 * 2099 and got == want
+
+
+def test_overlay_next_to_a_tie(spark, tmp_path):
+    # the star's common area is 9.1505449994, which sums of products of whole coordinates take to 9.1505450003
+    orders = spark.sql("SELECT 6857L AS o_orderkey, 996L AS o_custkey, TIMESTAMP '1997-01-01' AS o_orderdate")
+    nation = spark.sql("SELECT 15 AS n_nationkey, 'NATION_15' AS n_name")
+    blank = {t: spark.sql(f"SELECT {c} WHERE FALSE") for t, c in (("events", "0L AS event_id, TIMESTAMP '1997-01-01' AS ts, 0L AS user_id, 'x' AS event_type"), ("lineitem", "TIMESTAMP '1997-01-01' AS l_shipdate, 0L AS l_partkey, 0L AS l_suppkey"))}
+    got, want = on_rows(spark, "r_polygon_overlay", tmp_path, orders=orders, nation=nation, **blank)
+    assert len(got) == 1 and got == want
