@@ -30,6 +30,8 @@ EPOCHS, RATE = 4, 4.0
 #: Share of rightly classified sample rows that rejection may cost.
 REJECT_SHARE = 0.001
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are looked up at once, by whole documents; it bounds memory and changes no result.
+PIECE_BYTES = 1 << 17
 
 _MAP = np.full(256, 0x20, dtype=np.uint8)
 _MAP[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -161,11 +163,25 @@ def fit(docs: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], se
     return Model(languages, table, bias, best, min(0.5, float(np.quantile(right, REJECT_SHARE))) if len(right) else 0.0)
 
 
-def _predict(model: Model):
+def _sums(model: Model, buf: np.ndarray, offs: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each document the weighted sum of its n-grams' rows of the table, piece by piece."""
+    z = np.zeros((len(offs) - 1, len(model.languages)), np.float64)
+    for p, q in K.slices(offs, PIECE_BYTES):
+        lo, hi = offs[p], offs[q]
+        full = p + np.flatnonzero(np.diff(offs[p : q + 1]))
+        if len(full):  # the last n-grams read on behind the piece
+            one = sum(model.table[g[: hi - lo]] for g in ngrams(buf[lo : hi + max(ORDERS) - 1])) * w[lo:hi, None]
+            z[full] = np.add.reduceat(one, offs[full] - lo, axis=0, dtype=np.float64)
+    return z
+
+
+def _predict(model: Model, kept: int, read: str = "_read"):
+    """The first `kept` columns with the prediction for the text in the column `read`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for a, b, buf, offs in K.text_slices(batch, "_read"):
+            for a, b, buf, offs in K.text_slices(batch, read):
                 n = np.diff(offs)
                 z = np.zeros((b - a, len(model.languages)), np.float64)
                 score, won, total = np.zeros(b - a), np.full(b - a, len(model.languages)), np.zeros(b - a)
@@ -178,16 +194,15 @@ def _predict(model: Model):
                     for i in full[~letters[full]]:
                         letters[i] = any(ch.isalpha() for ch in buf[offs[i] : offs[i + 1]].tobytes().decode())
                     if model.languages:
-                        one = sum(model.table[g] for g in ngrams(buf)) * w[:, None]
-                        z[full] = np.add.reduceat(one, offs[full], axis=0, dtype=np.float64)
+                        z = _sums(model, buf, offs, w)
                 if model.languages:
                     z = (z / np.maximum(1, total * len(ORDERS))[:, None] + model.bias) / model.temperature
                     p = np.exp(z - z.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
                     won, score = np.where(letters, p.argmax(1), won), np.where(letters, p.max(1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)], pa.array(names[won], pa.string()), pa.array(score), pa.array(~letters | (score < model.reject_below))],
-                    [*batch.schema.names[:-1], "lang_pred", "score", "rejected"],
+                    [*[batch.column(c).slice(a, b - a) for c in range(kept)], pa.array(names[won], pa.string()), pa.array(score), pa.array(~letters | (score < model.reject_below))],
+                    [*batch.schema.names[:kept], "lang_pred", "score", "rejected"],
                 )
 
     return run
@@ -201,9 +216,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     ignored.  An empty table gives no rows; a text of any length is read whole.
     """
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected", "_read")]
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_read"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double, rejected boolean")
+    rows, read = docs.select(*keep), text_col
+    if keep.count(text_col) != 1 or dict(rows.dtypes).get(text_col) != "string":  # else the text is sent once
+        rows, read = docs.select(*keep, F.col(text_col).cast("string").alias("_read")), "_read"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(_predict(model, len(keep), read), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
