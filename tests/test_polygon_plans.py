@@ -17,3 +17,8 @@ def test_relations_read_polygons_once(spark):
     got = plan(spark, "j_polygon_relations")
     assert reads(got) == 1 and "MapInPandas" not in got  # no second copy of the parts, which would be sent to all tasks
     assert not any("array_max" in line for line in got.splitlines() if "Filter" in line)  # bounds are computed once
+
+
+def test_class_clip_keeps_the_year(spark):
+    got = plan(spark, "r_polygon_class_clip")
+    assert reads(got) == 2 and "MapInPandas" not in got  # cut once, and the keys of polygons without cover
