@@ -22,3 +22,8 @@ def test_relations_read_polygons_once(spark):
 def test_class_clip_keeps_the_year(spark):
     got = plan(spark, "r_polygon_class_clip")
     assert reads(got) == 2 and "MapInPandas" not in got  # cut once, and the keys of polygons without cover
+
+
+def test_overlay_reads_polygons_once(spark):
+    got = plan(spark, "r_polygon_overlay")
+    assert reads(got) == 1 and "MapInPandas" not in got
