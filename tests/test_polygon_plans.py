@@ -27,3 +27,7 @@ def test_class_clip_keeps_the_year(spark):
 def test_overlay_reads_polygons_once(spark):
     got = plan(spark, "r_polygon_overlay")
     assert reads(got) == 1 and "MapInPandas" not in got
+
+
+def test_measures_take_whole_batches(spark):
+    assert "MapInPandas" not in plan(spark, "r_make_valid")
