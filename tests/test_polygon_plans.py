@@ -31,3 +31,8 @@ def test_overlay_reads_polygons_once(spark):
 
 def test_measures_take_whole_batches(spark):
     assert "MapInPandas" not in plan(spark, "r_make_valid")
+
+
+def test_relations_are_computed_once(spark):
+    got = plan(spark, "j_polygon_intersects_not_within")
+    assert reads(got) == 1 and got.count("MapIn") == 1
