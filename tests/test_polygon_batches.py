@@ -87,3 +87,12 @@ def test_nothing():
     null = B.read(pa.array([None], PARTS))
     assert np.isnan(B.representative_points(null)).all() and not B.relate(null, null)[0][0] and null.geodesic_area().tolist() == [0]
     assert [len(x) for x in B.cut_to_cells(null, Grid(0.0, 5.0, 0.5, 0.7, 8, 8))] == [0] * 5
+
+
+def test_point_of_a_vertex_halfway_up():
+    for k in range(1999):  # at some heights, as -15.99, the middle of top and bottom is rounded above the vertex between them
+        cy, hy = -19.5 + k / 100, 0.002 + 0.003 * 12
+        star = [{"x": x * 0.05 - 70, "y": cy + hy * y} for x, y in ((1, 0), (0.25, 0.25), (0, 1), (-0.25, 0.25), (-1, 0), (-0.25, -0.25), (0, -1), (0.25, -0.25), (1, 0))]
+        parts = [{"shell": star, "holes": None}]
+        assert G.representative_point(G.to_parts(parts))[1] == pytest.approx(cy - hy / 8, abs=1e-9)
+        assert B.representative_points(B.read(pa.array([parts], PARTS)))[1][0] == pytest.approx(cy - hy / 8, abs=1e-9)
