@@ -36,3 +36,8 @@ def test_measures_take_whole_batches(spark):
 def test_relations_are_computed_once(spark):
     got = plan(spark, "j_polygon_intersects_not_within")
     assert reads(got) == 1 and got.count("MapIn") == 1
+
+
+def test_cascade_keeps_its_attempts(spark):
+    got = plan(spark, "j_polygon_country_cascade")
+    assert "MapIn" not in got  # each attempt was stored and is not computed anew for each use
